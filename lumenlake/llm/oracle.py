@@ -43,7 +43,7 @@ placed AS (
         FROM docs CROSS JOIN (SELECT DISTINCT n FROM windows))
 ),
 found AS (SELECT doc_id, text, s, p.n, item_id FROM placed p JOIN windows USING (n, w)),
-hit AS (SELECT doc_id, text, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, text, unnest(generate_series(s, s + n - 1)) AS at FROM found) GROUP BY ALL),
+hit AS (SELECT doc_id, text, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, text, unnest(generate_series(s, s + n - 1)) AS word FROM found) GROUP BY ALL),
 held AS (
   SELECT doc_id, text, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT doc_id, text, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY ALL
