@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import chat, decontaminate, license, simhash, sketch, urls
+from lumenlake.llm import chat, decontaminate, language_model, license, pieces, simhash, sketch, toxicity, urls, warc
 from lumenlake.llm.common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best segmentation of every text, its score and the next best's, and whether decoding gives the text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.round_trips(docs)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.licenses(table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -70,11 +80,23 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_toxicity": op2_toxicity,
     "op3_license_scan": op3_license_scan,
     "op4_chat_format": op4_chat_format,
     "op5_simhash": op5_simhash,
     "op6_sketch": op6_sketch,
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
+    "op9_language_model": op9_language_model,
+    "op10_warc_derivatives": op10_warc_derivatives,
 }
