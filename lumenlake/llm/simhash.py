@@ -34,8 +34,6 @@ from lumenlake.llm.components import components
 
 RADIUS = 3
 SEED = 42
-#: First bit and width of the blocks that are masked in turn.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: Distinct fingerprints in a bucket from which on stars replace verified pairs.
 CROWD = 64
 
@@ -86,28 +84,36 @@ def _flips(fp: Column, masks: list[int]) -> Column:
     return F.transform(F.lit([_signed(m) for m in masks]), lambda m: fp.bitwiseXOR(m))
 
 
-def masked_balls(fp: Column) -> Column:
+def blocks(bits: int) -> list[int]:
+    """Masks of the three blocks of a fingerprint."""
+    cuts = [0, -(-bits // 3), -(-2 * bits // 3), bits]
+    return [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+
+
+def masked_balls(fp: Column, bits: int) -> Column:
     """For each block: the fingerprint without it, and that with any one of the other bits flipped."""
     parts = []
-    for first, width in BLOCKS:
-        block = ((1 << width) - 1) << first
-        flips = [0, *(1 << i for i in range(64) if not block >> i & 1)]
+    for block in blocks(bits):
+        flips = [0, *(1 << i for i in range(bits) if not block >> i & 1)]
         parts.append(_flips(fp.bitwiseAND(F.lit(_signed(~block & (1 << 64) - 1))), flips))
     return F.concat(*parts)
 
 
-def hub_ball(fp: Column) -> Column:
-    return _flips(fp, [0, *(1 << i for i in range(64))])
+def hub_ball(fp: Column, bits: int) -> Column:
+    return _flips(fp, [0, *(1 << i for i in range(bits))])
+
 
+def spoke_ball(fp: Column, bits: int) -> Column:
+    """Two flips within the low or within the high half of the bits."""
+    halves = (range(bits // 2), range(bits // 2, bits))
+    return _flips(fp, [1 << i | 1 << j for h in halves for i in h for j in h if i < j])
 
-def spoke_ball(fp: Column) -> Column:
-    """Two flips within the low or within the high 32 bits."""
-    return _flips(fp, [1 << i | 1 << j for h in (0, 32) for i in range(h, h + 32) for j in range(i + 1, h + 32)])
 
+def links(distinct: DataFrame, crowd: int = CROWD, bits: int = 64) -> DataFrame:
+    """(a, b): edges between different fingerprints with the same components as all pairs within RADIUS bits.
 
-def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(a, b): edges between different fingerprints with the same components as all pairs within RADIUS bits."""
-    balls = distinct.select("fp", F.explode(masked_balls(F.col("fp"))).alias("variant"))
+    Only the lowest `bits` bits of the column fp are searched; those above must be equal."""
+    balls = distinct.select("fp", F.explode(masked_balls(F.col("fp"), bits)).alias("variant"))
     # A bucket's members are numbered and counted where the shuffle has brought them; none is collected whole.
     buckets = balls.selectExpr(
         "variant",
@@ -137,8 +143,8 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     crowded = found.filter("a = b").select(F.col("a").alias("fp"))
     if crowded.isEmpty():
         return found
-    emitted = crowded.select("fp", F.explode(hub_ball(F.col("fp"))).alias("variant"), F.lit(True).alias("hub")).union(
-        crowded.select("fp", F.explode(spoke_ball(F.col("fp"))).alias("variant"), F.lit(False).alias("hub"))
+    emitted = crowded.select("fp", F.explode(hub_ball(F.col("fp"), bits)).alias("variant"), F.lit(True).alias("hub")).union(
+        crowded.select("fp", F.explode(spoke_ball(F.col("fp"), bits)).alias("variant"), F.lit(False).alias("hub"))
     )
     stars = (
         emitted.selectExpr("fp", "min(CASE WHEN hub THEN fp END) OVER (PARTITION BY variant) AS center")
@@ -167,10 +173,86 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) -> Da
     )
 
 
+# What follows finds near copies for filtering: texts whose five-word shingles are alike by SIMILARITY or more. Their
+# 64-bit fingerprints differ in ten bits, beyond any ball, so candidates come from coarser ones that edits disturb less.
+
+#: Fingerprints of a text's distinct words, each of so many bits, searched with the ball hashing above.
+COARSE, COARSE_BITS = 3, 40
+#: Words of fewer bytes are left out of them where enough others remain.
+LONG, ENOUGH = 6, 8
+SIMILARITY = 0.8
+FINE_BITS = 128
+
+
+def _majority(digests: list[bytes]) -> bytes:
+    """The 128-bit majority of 128-bit digests."""
+    counts = np.zeros(128, np.int64)
+    for at in range(0, len(digests), 1 << 16):
+        part = np.frombuffer(b"".join(digests[at : at + (1 << 16)]), np.uint8).reshape(-1, 16)
+        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(digests)).tobytes()
+
+
+def copy_prints(text: bytes, shingle: int) -> tuple[int, ...]:
+    """COARSE fingerprints of the words, and the two halves of that of the shingles, as signed longs."""
+    tokens = text.lower().split()
+    words = set(tokens)
+    long = [w for w in words if len(w) >= LONG]
+    coarse = int.from_bytes(_majority([xxhash.xxh3_128_digest(w) for w in (long if len(long) >= ENOUGH else words)]), "big")
+    if len(tokens) > shingle:
+        grams = set(map(b" ".join, zip(*(tokens[i:] for i in range(shingle)), strict=False)))
+    else:
+        grams = {b" ".join(tokens)}
+    fine = _majority([xxhash.xxh3_128_digest(g) for g in grams])
+    low = (1 << COARSE_BITS) - 1
+    return (
+        *(i << COARSE_BITS | coarse >> i * COARSE_BITS & low for i in range(COARSE)),
+        int.from_bytes(fine[:8], "big", signed=True),
+        int.from_bytes(fine[8:], "big", signed=True),
+    )
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, group_id) for every row of docs(doc_id, text): group_id is the smallest doc_id of its near copies.
+
+    Candidates have a coarse fingerprint within RADIUS bits of another; they are linked where at least SIMILARITY of the
+    bits of their shingles' fingerprints agree. Of texts that share a coarse fingerprint each is held against the first,
+    and neighbouring fingerprints are held against each other by their first texts, so crowds make no pairs; with three
+    coarse fingerprints a text has three such chances."""
+    names = [f"c{i}" for i in range(COARSE)] + ["g0", "g1"]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([copy_prints(t.as_py() or b"", shingle) for t in batch.column("text")], np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[:, i]) for i in range(len(names)))], ["doc_id", *names])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    asked = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    prints = asked.mapInArrow(score, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names)).withColumn("node", F.xxhash64(*names))
+    prints = materialized(prints, "copies-fingerprints")
+    texts = materialized(prints.groupBy("node", *names).agg(F.min("doc_id").alias("first_id")), "copies-texts")
+    placed = texts.select("node", "g0", "g1", F.explode(F.array(*names[:COARSE])).alias("fp"))
+    hubs = materialized(
+        placed.groupBy("fp").agg(F.min(F.struct("node", "g0", "g1")).alias("hub")).select("fp", "hub.node", "hub.g0", "hub.g1"), "copies-hubs"
+    )
+    alike = F.expr(f"bit_count(x.g0 ^ y.g0) + bit_count(x.g1 ^ y.g1) <= {int((1 - SIMILARITY) * FINE_BITS)}")
+    nodes = (F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    same = placed.alias("x").join(hubs.alias("y"), "fp").filter("x.node <> y.node").filter(alike).select(*nodes)
+    near = links(hubs.select("fp"), crowd, COARSE_BITS)
+    x, y = hubs.alias("x"), hubs.alias("y")
+    other = near.join(x, F.expr("a = x.fp")).join(y, F.expr("b = y.fp")).filter(alike).select(*nodes)
+    roots = components(same.union(other).filter("a <> b"))
+    rooted = texts.join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select(
+        "node", "first_id", F.coalesce("root", "node").alias("root")
+    )
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("group_id")), "root").select(F.col("node").alias("own"), "group_id")
+    return prints.select("doc_id", "node").join(named, F.col("node") == F.col("own"), "left").select("doc_id", "group_id")
+
+
 def deduplicated(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """`docs` less all but one document of each near-duplicate group: the one with the smallest doc_id stays.
+    """`docs`, with all columns, less all but one document of each group of near copies: the smallest doc_id stays.
 
     Rows that repeat that id are reduced to one as well. Documents without an id are kept."""
-    kept = near_duplicates(docs.select("doc_id", "text"), shingle).filter("doc_id = component_id").select("doc_id")
-    once = docs.join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = near_copies(docs.select("doc_id", "text"), shingle).filter("doc_id = group_id").select("doc_id").distinct()
+    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     return once.unionByName(docs.filter(F.col("doc_id").isNull()))
