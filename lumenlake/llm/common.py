@@ -1,13 +1,14 @@
-"""What the operators of this subpackage share: reading tables, cutting lineage, and splitting texts into words."""
+"""What the operators of this subpackage share: reading tables, naming documents, and splitting texts into words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlake.plans.lineage import materialized
+
+__all__ = ["WORD", "WORD_BYTES", "ascii_lower", "materialized", "remainder", "table", "with_key", "words"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word: a run of characters other than ASCII signs, blanks and control characters, after A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -23,28 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for tables that cut lineage: below the cluster's spark.checkpoint.dir.
-
-    Where that is unset (tests on one machine) a temporary folder is set; on a cluster it must be set."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        place = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not place:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            place = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(place)
-    return sc.getCheckpointDir()
-
-
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once to the shared folder and read back: later plans start from files that outlive executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
