@@ -76,10 +76,10 @@ def spans(docs: DataFrame) -> DataFrame:
     votes = held.join(grams, "gram").withColumn("diagonal", F.col("pos") - F.col("at"))
     key = ["doc_id", "text_hash", "template", "label", "phrase", "n"]
     lines = votes.groupBy(*key, "diagonal").agg(
-        F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("at").alias("at")
+        F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("at").alias("at")
     )
-    # Base: all grams of the phrase on one diagonal are all its words, each in its place.
-    exact = lines.filter(F.col("phrase") & (F.col("votes") == F.col("n") - K + 1)).select(
+    # Base: all grams of the phrase on one diagonal are all its words, each in its place. Each counts once, as rows repeat.
+    exact = lines.filter(F.col("phrase") & (F.size("at") == F.col("n") - K + 1)).select(
         *key, F.col("first"), (F.col("last") + K - 1).alias("last"), F.lit(1.0).alias("cover")
     )
     over = "(PARTITION BY doc_id, text_hash, template ORDER BY first, diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"

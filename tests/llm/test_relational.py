@@ -69,6 +69,15 @@ def test_licenses(spark, source):
         assert 0 <= r.score <= 1
 
 
+def test_licenses_of_repeated_rows(spark):
+    texts = ["cc by nc", "code under the mit license", "only under the mit", "apache license version 2 and cc by nc"]
+    rows = [(i, t) for i, t in enumerate(texts)] * 2 + [(None, t) for t in texts] * 3
+    out = license.licenses(made(spark, rows)).collect()
+    key = lambda t: tuple(-1 if x is None else x for x in t)
+    got = sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in out), key=key)
+    assert got == sorted(((i, *brute_licenses(t)) for i, t in set(rows)), key=key)
+
+
 def test_license_notice_with_edits(spark):
     notice = license.NOTICES["mit"][0].replace("hereby", "now hereby").replace("obtaining", "who obtains")
     got = license.licenses(made(spark, [(1, f"Intro words. {notice} end."), (2, "permission to copy this software")])).orderBy("doc_id").collect()
