@@ -20,6 +20,7 @@ only if all their ids are null). An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import materialized
+from lumenlake.llm.common import materialized, with_key
 from lumenlake.llm.components import components
 
 RADIUS = 3
@@ -173,80 +174,149 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) -> Da
     )
 
 
-# What follows finds near copies for filtering: texts whose five-word shingles are alike by SIMILARITY or more. Their
-# 64-bit fingerprints differ in ten bits, beyond any ball, so candidates come from coarser ones that edits disturb less.
+# What follows finds near copies for filtering: texts whose sets of five-word shingles have a Jaccard likeness of
+# SIMILARITY or more. Their 64-bit fingerprints differ in ten bits, beyond any ball, so the sets themselves are joined.
 
-#: Fingerprints of a text's distinct words, each of so many bits, searched with the ball hashing above.
-COARSE, COARSE_BITS = 3, 40
-#: Words of fewer bytes are left out of them where enough others remain.
-LONG, ENOUGH = 6, 8
 SIMILARITY = 0.8
-FINE_BITS = 128
+#: Shingles that are known to be common, at most; they only order the others.
+ORDERED = 1 << 17
 
 
-def _majority(digests: list[bytes]) -> bytes:
-    """The 128-bit majority of 128-bit digests."""
-    counts = np.zeros(128, np.int64)
-    for at in range(0, len(digests), 1 << 16):
-        part = np.frombuffer(b"".join(digests[at : at + (1 << 16)]), np.uint8).reshape(-1, 16)
-        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(digests)).tobytes()
-
-
-def copy_prints(text: bytes, shingle: int) -> tuple[int, ...]:
-    """COARSE fingerprints of the words, and the two halves of that of the shingles, as signed longs."""
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles, ascending; a text of fewer words is one shingle."""
     tokens = text.lower().split()
-    words = set(tokens)
-    long = [w for w in words if len(w) >= LONG]
-    coarse = int.from_bytes(_majority([xxhash.xxh3_128_digest(w) for w in (long if len(long) >= ENOUGH else words)]), "big")
     if len(tokens) > shingle:
         grams = set(map(b" ".join, zip(*(tokens[i:] for i in range(shingle)), strict=False)))
     else:
         grams = {b" ".join(tokens)}
-    fine = _majority([xxhash.xxh3_128_digest(g) for g in grams])
-    low = (1 << COARSE_BITS) - 1
-    return (
-        *(i << COARSE_BITS | coarse >> i * COARSE_BITS & low for i in range(COARSE)),
-        int.from_bytes(fine[:8], "big", signed=True),
-        int.from_bytes(fine[8:], "big", signed=True),
-    )
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(grams)).view(np.int64))
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, group_id) for every row of docs(doc_id, text): group_id is the smallest doc_id of its near copies.
+def prefix_length(n: int) -> int:
+    """Sets alike by SIMILARITY share one of so many of their first shingles, in any order that all sets follow."""
+    return n - math.ceil(SIMILARITY * n - 1e-9) + 1
 
-    Candidates have a coarse fingerprint within RADIUS bits of another; they are linked where at least SIMILARITY of the
-    bits of their shingles' fingerprints agree. Of texts that share a coarse fingerprint each is held against the first,
-    and neighbouring fingerprints are held against each other by their first texts, so crowds make no pairs; with three
-    coarse fingerprints a text has three such chances."""
-    names = [f"c{i}" for i in range(COARSE)] + ["g0", "g1"]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles that many texts hold, the rarest first, from a quarter of the texts: an order, which loses nothing."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py() or b"", shingle) for t in batch.column("text")]
+            gram, n = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram[n > 1]), pa.array(n[n > 1])], ["gram", "n"])
+
+    some = docs.filter(F.pmod("text_hash", F.lit(4)) == 0).select(F.col("text").cast("binary").alias("text"))
+    counts = some.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "gram").limit(ORDERED).select("gram").toPandas()["gram"]
+    return top.to_numpy(np.int64)[::-1]
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(a, b, alike) of pairs(a, b): whether the shingle sets of texts(node, text) have SIMILARITY, exactly."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, held = None, None
+        for batch in batches:
+            found = []
+            for b, x, y in zip(batch.column("b"), batch.column("x"), batch.column("y"), strict=True):
+                if b.as_py() != node:  # joined by b last, so equal ones follow each other
+                    node, held = b.as_py(), shingle_set(y.as_py(), shingle)
+                own = shingle_set(x.as_py(), shingle)
+                both = len(np.intersect1d(own, held, assume_unique=True))
+                found.append(both >= SIMILARITY * (len(own) + len(held) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.bool_())], ["a", "b", "alike"])
+
+    first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, alike boolean")
+
+
+def copy_groups(docs: DataFrame, shingle: int = 5, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, text_hash, root) for every row of docs(doc_id, text): near copies, and what they connect, share a root.
+
+    A prefix join, exact: the shingles of every set are put in one order, the rarest first; sets that are alike share a
+    shingle among their first fifth, and all that do are candidates if their sizes and places allow the likeness. Equal
+    sets are one node. Every candidate pair is verified on the whole texts, except within what is already connected:
+    first every node of a bucket is held against one of them, then all pairs whose components differ. Buckets of
+    more than `crowd` nodes are cut into blocks of that size, each pair of blocks on its own."""
+    keyed = with_key(docs)
+    ordered = docs.sparkSession.sparkContext.broadcast(common_shingles(keyed, shingle))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = ordered.value
+        sort = np.argsort(common)
+        known = common[sort]
         for batch in batches:
-            found = np.array([copy_prints(t.as_py() or b"", shingle) for t in batch.column("text")], np.int64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[:, i]) for i in range(len(names)))], ["doc_id", *names])
+            nodes, sizes, firsts = [], [], []
+            for t in batch.column("text"):
+                own = shingle_set(t.as_py() or b"", shingle)
+                at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+                rank = np.where(known[at] == own, sort[at] + 1, 0) if len(known) else np.zeros(len(own), np.int64)
+                nodes.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+                sizes.append(len(own))
+                firsts.append(own[np.argsort(rank, kind="stable")[: prefix_length(len(own))]])
+            ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+            first = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), first],
+                ["doc_id", "text_hash", "node", "n", "first"],
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    asked = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    prints = asked.mapInArrow(score, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names)).withColumn("node", F.xxhash64(*names))
-    prints = materialized(prints, "copies-fingerprints")
-    texts = materialized(prints.groupBy("node", *names).agg(F.min("doc_id").alias("first_id")), "copies-texts")
-    placed = texts.select("node", "g0", "g1", F.explode(F.array(*names[:COARSE])).alias("fp"))
-    hubs = materialized(
-        placed.groupBy("fp").agg(F.min(F.struct("node", "g0", "g1")).alias("hub")).select("fp", "hub.node", "hub.g0", "hub.g1"), "copies-hubs"
+    asked = keyed.select("doc_id", "text_hash", F.col("text").cast("binary").alias("text"))
+    prints = materialized(asked.mapInArrow(place, f"doc_id {kind}, text_hash long, node long, n int, first array<long>"), "copies-prints")
+    sets = prints.dropDuplicates(["node"]).select("node", "n", F.posexplode("first").alias("pos", "gram"))
+    buckets = materialized(
+        sets.selectExpr(
+            "*",
+            "count(*) OVER (PARTITION BY gram) AS held",
+            "min(struct(node, n)) OVER (PARTITION BY gram) AS hub",
+        ).filter("held > 1").drop("held"),
+        "copies-buckets",
     )
-    alike = F.expr(f"bit_count(x.g0 ^ y.g0) + bit_count(x.g1 ^ y.g1) <= {int((1 - SIMILARITY) * FINE_BITS)}")
-    nodes = (F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    same = placed.alias("x").join(hubs.alias("y"), "fp").filter("x.node <> y.node").filter(alike).select(*nodes)
-    near = links(hubs.select("fp"), crowd, COARSE_BITS)
-    x, y = hubs.alias("x"), hubs.alias("y")
-    other = near.join(x, F.expr("a = x.fp")).join(y, F.expr("b = y.fp")).filter(alike).select(*nodes)
-    roots = components(same.union(other).filter("a <> b"))
-    rooted = texts.join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select(
-        "node", "first_id", F.coalesce("root", "node").alias("root")
+    # One text of each node that has candidates.
+    named = prints.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"))
+    d, r = asked.alias("d"), named.alias("r")
+    same = F.expr("d.doc_id <=> r.of.doc_id AND d.text_hash = r.of.text_hash")
+    texts = d.join(r, same).select("r.node", F.coalesce("d.text", F.lit(b"")).alias("text")).dropDuplicates(["node"])
+    texts = materialized(texts, "copies-texts")
+    near = f"least({{0}}, {{1}}) >= {SIMILARITY} * greatest({{0}}, {{1}}) - 1e-6"
+    hubs = buckets.filter("node <> hub.node").filter(near.format("n", "hub.n"))
+    tried = materialized(_alike(hubs.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), texts, shingle), "copies-hubs")
+    roots = components(tried.filter("alike").select("a", "b")).withColumnRenamed("node", "own")
+    rooted = buckets.join(roots, F.col("node") == F.col("own"), "left").select("gram", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+    mixed = materialized(
+        rooted.selectExpr(
+            "*",
+            "min(root) OVER (PARTITION BY gram) <> max(root) OVER (PARTITION BY gram) AS mixed",
+            f"cast((row_number() OVER (PARTITION BY gram ORDER BY node) - 1) / {crowd} AS int) AS part",
+            f"cast((count(*) OVER (PARTITION BY gram) - 1) / {crowd} AS int) AS last",
+        ).filter("mixed").drop("mixed"),
+        "copies-mixed",
     )
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("group_id")), "root").select(F.col("node").alias("own"), "group_id")
-    return prints.select("doc_id", "node").join(named, F.col("node") == F.col("own"), "left").select("doc_id", "group_id")
+    x = mixed.selectExpr("*", "part AS low", "explode(sequence(part, last)) AS high").alias("x")
+    y = mixed.selectExpr("*", "part AS high", "explode(sequence(0, part)) AS low").alias("y")
+    # What both can share at most: all before the lesser place, and all from there on in the set with less left.
+    most = f"least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= {SIMILARITY / (1 + SIMILARITY)} * (x.n + y.n) - 1e-6"
+    pairs = (
+        x.join(y, F.expr("x.gram = y.gram AND x.low = y.low AND x.high = y.high AND x.node < y.node AND x.root <> y.root"))
+        .filter(near.format("x.n", "y.n"))
+        .filter(most)
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        .distinct()
+        .join(tried, ["a", "b"], "left_anti")
+    )
+    others = materialized(_alike(pairs, texts, shingle), "copies-pairs")
+    whole = components(tried.union(others).filter("alike").select("a", "b")).withColumnRenamed("node", "own")
+    return prints.join(whole, F.col("node") == F.col("own"), "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, group_id) for every row of docs(doc_id, text): group_id is the smallest doc_id of its near copies."""
+    rows = materialized(copy_groups(docs, shingle, crowd), "copies-groups")
+    named = rows.groupBy("root").agg(F.min("doc_id").alias("group_id"))
+    return rows.join(named, "root").select("doc_id", "group_id")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5) -> DataFrame:

@@ -227,6 +227,34 @@ def test_near_copies(spark):
     assert left.filter("doc_id IS NULL").count() == 1 and simhash.deduplicated(made(spark, [])).count() == 0
 
 
+def brute_groups(rows):
+    """Smallest ids of what pairs of five-word shingle sets with a Jaccard likeness of 0.8 connect."""
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b])
+            if a < b and root[a] != root[b] and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def test_near_copies_of_one_vocabulary(spark):
+    rng = random.Random(5)
+    words, rows = [f"vocabulary{i}" for i in range(120)], []
+    for _ in range(20):  # the same words in another order, each twice with two neighbours swapped
+        base = rng.sample(words, 120)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base[:60], base[61], base[60], *base[62:]]))]
+    want = brute_groups(rows)
+    assert len(set(want.values())) == 20
+    for crowd in (2, 64):
+        assert {r.doc_id: r.group_id for r in simhash.near_copies(made(spark, rows), crowd=crowd).collect()} == want
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bad = spark.createDataFrame([(10**6, None, None, None, None)], docs.schema)
