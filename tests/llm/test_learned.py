@@ -255,6 +255,21 @@ def test_near_copies_of_one_vocabulary(spark):
         assert {r.doc_id: r.group_id for r in simhash.near_copies(made(spark, rows), crowd=crowd).collect()} == want
 
 
+def test_near_copies_are_verified(spark):
+    rng = random.Random(6)
+    line, rows, share = " ".join(f"line{i}" for i in range(30)), [], []
+    for g in range(60):  # runs of other words at the end: likeness 0.5 to 0.95; a line that all texts hold
+        base = [f"g{g}w{i}" for i in range(170)]
+        share.append(0.5 + 0.45 * g / 59)
+        cut = round(196 * 2 * share[-1] / (1 + share[-1])) - 26
+        rows += [(len(rows), " ".join([line, *base])), (len(rows) + 1, " ".join([line, *base[:cut], *(f"h{g}w{i}" for i in range(170 - cut))]))]
+    rows += [(len(rows) + i, " ".join(rng.choices(["a", "b", "c"], k=rng.randrange(1, 9)))) for i in range(60)]
+    want = brute_groups(rows)
+    assert 15 < sum(want[2 * g] == want[2 * g + 1] for g in range(60)) < 30
+    for crowd in (3, 64):
+        assert {r.doc_id: r.group_id for r in simhash.near_copies(made(spark, rows), crowd=crowd).collect()} == want
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bad = spark.createDataFrame([(10**6, None, None, None, None)], docs.schema)
