@@ -322,7 +322,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, crowd: int = CROWD) -> DataFr
 def deduplicated(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """`docs`, with all columns, less all but one document of each group of near copies: the smallest doc_id stays.
 
-    Rows that repeat that id are reduced to one as well. Documents without an id are kept."""
-    kept = near_copies(docs.select("doc_id", "text"), shingle).filter("doc_id = group_id").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return once.unionByName(docs.filter(F.col("doc_id").isNull()))
+    Ids may repeat or be null: a document is named by (doc_id, text_hash), nulls last, and only the survivor's own
+    repeats are reduced to one, the smallest row."""
+    groups = copy_groups(docs.select("doc_id", "text"), shingle)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("of"))
+    d = docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).alias("d")
+    f = first.alias("f")
+    kept = d.join(f, F.expr("d.doc_id <=> f.of.doc_id AND d.text_hash = f.of.text_hash"), "left_semi")
+    return kept.groupBy("doc_id", "text_hash").agg(F.min("whole").alias("whole")).select("whole.*")

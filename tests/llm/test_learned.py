@@ -270,6 +270,13 @@ def test_near_copies_are_verified(spark):
         assert {r.doc_id: r.group_id for r in simhash.near_copies(made(spark, rows), crowd=crowd).collect()} == want
 
 
+def test_copies_under_repeated_and_missing_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(1, a), (1, b), (1, a), (2, b), (3, a), (None, c), (None, c), (None, a), (None, c + " end")]
+    left = sorted((r.doc_id or 0, r.text[0]) for r in simhash.deduplicated(made(spark, rows)).collect())
+    assert left == [(0, "c"), (1, "a"), (1, "b")]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bad = spark.createDataFrame([(10**6, None, None, None, None)], docs.schema)
