@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from lumenlake.plans.lineage import materialized
 
-__all__ = ["WORD", "WORD_BYTES", "ascii_lower", "materialized", "remainder", "table", "with_key", "words"]
+__all__ = ["WORD_BYTES", "ascii_lower", "materialized", "remainder", "table", "tokens", "with_key", "words"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: A word: a run of characters other than ASCII signs, blanks and control characters, after A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: ASCII characters that no word holds: all but digits and letters.
+SIGNS = "".join(chr(b) for b in range(128) if not chr(b).isalnum())
+#: White space that parts tokens, besides the blank.
+SPACES = "\t\n\x0b\x0c\r"
 
 #: For bytes of UTF-8: lower-cases A-Z and turns every ASCII character that no word holds into a blank.
 WORD_BYTES = bytes(
@@ -28,9 +30,20 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def _parted(text: Column, by: str) -> Column:
+    # Several times as fast as a regular expression: one walk over the text, then a split at blanks.
+    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + by, UPPER.lower() + " " * len(by))
+    return F.array_remove(F.split(plain, " "), "")
+
+
 def words(text: Column) -> Column:
-    """Words of a text by WORD; a null text has none."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """Runs of characters other than ASCII signs, blanks and control characters, A-Z lower-cased; a null text has none."""
+    return _parted(text, SIGNS)
+
+
+def tokens(text: Column) -> Column:
+    """Runs of characters other than ASCII white space, A-Z lower-cased; a null text has none."""
+    return _parted(text, SPACES)
 
 
 def remainder(doc_id: Column, of: int) -> Column:

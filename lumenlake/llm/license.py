@@ -1,9 +1,10 @@
 """License scans by diagonal voting.
 
-All rolling word k-grams of the documents are joined to the positions that they have in templates. Document position
-less template position is the diagonal: grams of one copy share it. Votes are summed by diagonal, neighbouring diagonals
-(an insertion or deletion moves later grams by a few words) are merged, and merged spans are verified by the share of
-template words that their equal grams cover. Grams are joined by their words as well as by hash, so votes are exact.
+Hashes of all rolling word k-grams of the documents are joined to the positions that they have in templates; grams whose
+words differ in spite of equal hashes are dropped, so votes are exact. Document position less template position is the
+diagonal: grams of one copy share it. Votes are summed by diagonal. Insertions and deletions move later grams to diagonals
+nearby: all diagonals of a template are sorted, and those that follow each other within half its length are one copy,
+whatever other grams stand between. Merged spans are verified by the share of template words that their grams cover.
 
 Templates of kind `phrase` are the base: a span counts where every word stands, on a single diagonal. Templates of kind
 `notice` add labels of the method's own where at least `MIN_COVER` of the words are found.
@@ -17,12 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import materialized, with_key, words
-from lumenlake.llm.grams import known_grams, shingles
+from lumenlake.llm.common import materialized, words
+from lumenlake.llm.grams import neighbours, shingles, tokenised
 
 K = 3
-#: Diagonals that lie so many words apart are one copy with insertions or deletions.
-NEAR = 4
+#: Diagonals that lie so many template lengths apart are one copy with insertions or deletions.
+NEAR = 0.5
 MIN_COVER = 0.8
 
 # Phrases that name a licence, by label.
@@ -59,38 +60,37 @@ NOTICES = {
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """(template, label, phrase, n, pos, gram): every gram position of every template; bounded by the lists above."""
+    """(template, label, phrase, n, at, gram, w0, w1, w2): every gram position of every template; bounded by the lists above."""
     rows = [(label, True, text) for label, text in PHRASES.items()]
     rows += [(label, False, text) for label, texts in NOTICES.items() for text in texts]
     listed = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "template int, label string, phrase boolean, text string")
-    listed = listed.withColumn("t", words(F.col("text")))
-    return listed.select("template", "label", "phrase", F.size("t").alias("n"), F.explode(shingles(F.col("t"), K)).alias("g")).select(
-        "template", "label", "phrase", "n", "g.pos", "g.gram"
-    )
+    keep = ("template", "label", "phrase", "n")
+    places = neighbours(listed.withColumn("words", words(F.col("text"))).withColumn("n", F.size("words")), *keep)
+    return shingles(places, [K], *keep, "w0", "w1", "w2").drop("k").withColumnRenamed("pos", "at")
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, template, label, phrase, first, last, cover): verified copies; words first to last."""
-    grams = F.broadcast(templates(docs.sparkSession).withColumnRenamed("pos", "at"))  # a few hundred rows
-    held = known_grams(docs, F.broadcast(grams.select("gram").distinct()), K)
-    votes = held.join(grams, "gram").withColumn("diagonal", F.col("pos") - F.col("at"))
+    known = F.broadcast(templates(docs.sparkSession)).alias("t")  # a few hundred rows
+    keep = ("doc_id", "text_hash")
+    held = shingles(neighbours(tokenised(docs), *keep), [K], *keep, "w0", "w1", "w2").alias("h")
+    same = F.expr("h.gram = t.gram AND h.w0 = t.w0 AND h.w1 = t.w1 AND h.w2 = t.w2")
+    votes = held.join(known, same).select("doc_id", "text_hash", "template", "label", "phrase", "n", "pos", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
     key = ["doc_id", "text_hash", "template", "label", "phrase", "n"]
     lines = votes.groupBy(*key, "diagonal").agg(
         F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("at").alias("at")
     )
     # Base: all grams of the phrase on one diagonal are all its words, each in its place. Each counts once, as rows repeat.
     exact = lines.filter(F.col("phrase") & (F.size("at") == F.col("n") - K + 1)).select(
-        *key, F.col("first"), (F.col("last") + K - 1).alias("last"), F.lit(1.0).alias("cover")
+        *key, F.col("first").cast("long"), (F.col("last") + K - 1).cast("long").alias("last"), F.lit(1.0).alias("cover")
     )
-    over = "(PARTITION BY doc_id, text_hash, template ORDER BY first, diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    over = "(PARTITION BY doc_id, text_hash, template ORDER BY diagonal)"
     merged = (
         lines.filter("NOT phrase")
-        # Neighbours: diagonals a few words apart whose grams follow within a template's length.
-        .selectExpr("*", f"lag(diagonal) OVER (PARTITION BY doc_id, text_hash, template ORDER BY first, diagonal) AS d0", f"max(last) OVER {over} AS l0")
-        .selectExpr("*", f"CASE WHEN abs(diagonal - d0) <= {NEAR} AND first - l0 <= n THEN 0 ELSE 1 END AS new")
-        .selectExpr("*", "sum(new) OVER (PARTITION BY doc_id, text_hash, template ORDER BY first, diagonal) AS copy")
+        .selectExpr("*", f"CASE WHEN diagonal - lag(diagonal) OVER {over} <= {NEAR} * n THEN 0 ELSE 1 END AS new")
+        .selectExpr("*", f"sum(new) OVER {over} AS copy")
         .groupBy(*key, "copy")
-        .agg(F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
+        .agg(F.min("first").cast("long").alias("first"), (F.max("last") + K - 1).cast("long").alias("last"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
     )
     # Verify: words of the template inside equal grams, each counted once.
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + K - 1)))))
@@ -110,7 +110,7 @@ def licenses(docs: DataFrame) -> DataFrame:
         joined("label").alias("labels"),
         F.max("cover").alias("score"),
     )
-    sized = with_key(docs).select("doc_id", "text_hash", F.size(words(F.col("text"))).cast("long").alias("n_words")).distinct()
+    sized = tokenised(docs).select("doc_id", "text_hash", "n_words").distinct()
     s, m = sized.alias("s"), marks.alias("m")
     return s.join(m, F.expr("s.doc_id <=> m.doc_id AND s.text_hash = m.text_hash"), "left").select(
         "s.doc_id",
