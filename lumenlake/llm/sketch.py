@@ -14,22 +14,23 @@ rows that repeat are all kept; a table of one row is followed by itself; an empt
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import ascii_lower
+from lumenlake.llm.common import tokens
 
 SHINGLE = 5
 FRACTION = 1 / 8
 FLOOR = 16
 BITS = 48
 LIMIT = int(FRACTION * 2**BITS)
-#: Ranges of ids in which neighbours are found; each is sorted by one task, which may spill.
-RANGES = 512
-
-
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+#: Characters of text in a range of ids, on average; each range is sorted by one task, which may spill.
+RANGE = 1 << 27
+#: Ranges whose first rows are broadcast at most; more are joined by a shuffle.
+FEW = 100_000
 
 
 def kept(hashes: Column) -> Column:
@@ -89,28 +90,53 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(x) == 0, F.when(a["n"] == 0, 1.0).otherwise(0.0)).otherwise(both / F.size(x))
 
 
-def with_next(docs: DataFrame, columns: list[str], ranges: int = RANGES) -> DataFrame:
+def ranges_of(docs: DataFrame, size: int) -> list[int]:
+    """Ids that cut docs(doc_id, text) into ranges of about equally many rows and `size` characters: each range's largest."""
+    chars, n = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
+    parts = max(1, min(n, -(-chars // size)))
+    shares = [i / parts for i in range(1, parts)]
+    found = docs.agg(F.percentile_approx("doc_id", F.lit(shares), max(10_000, 4 * parts)).alias("at")).first().at if shares else []
+    return sorted(set(found or []))
+
+
+def range_of(doc_id: Column, ends: list[int]) -> Column:
+    """The number of the range of an id, ascending as ids descend: first among blocks of ends, then within one.
+
+    Ids above the last end are range 0; a null id comes after all."""
+    step = max(1, math.isqrt(len(ends)))
+    cut = [ends[i : i + step] for i in range(0, len(ends), step)]
+    if not cut:
+        return F.when(doc_id.isNull(), 1).otherwise(0)
+    whole = F.size(F.filter(F.lit([c[-1] for c in cut]), lambda e: e < doc_id))
+    inside = F.size(F.filter(F.coalesce(F.get(F.lit(cut), whole), F.array().cast("array<bigint>")), lambda e: e < doc_id))
+    below = F.when(whole == len(cut), len(ends)).otherwise(whole * step + inside)
+    return F.when(doc_id.isNull(), len(ends) + 1).otherwise(len(ends) - below)
+
+
+def with_next(docs: DataFrame, columns: list[str], size: int = RANGE, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """`docs` with next_<column>: that of the following row by descending doc_id, after the last that of the first.
 
-    Ids are cut into equal ranges, each sorted on its own; each range also gets a copy of the first row of the range
-    below it, so that no task sorts all rows. Ids are integers."""
-    ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    low, width = (0, 1) if ends.low is None else (ends.low, max(1, -(-(ends.high - ends.low + 1) // ranges)))
-    # Range numbers ascend as ids descend; rows without an id are last.
-    at = F.coalesce(F.floor((F.lit(ends.high or 0) - F.col("doc_id")) / width), F.lit(ranges + 1)).cast("int")
-    placed = docs.withColumn("__range", at).withColumn("__order", F.xxhash64(F.coalesce("text", F.lit(""))))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("__order"), F.col("text")]
-    # At most ranges + 2 rows: each range's first, and the range before it (before the first: the last).
-    firsts = [(r["__range"], r.head) for r in placed.groupBy("__range").agg(F.max("doc_id").alias("head")).orderBy("__range").collect()]
-    if not firsts:
-        return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
-    before = [(firsts[i - 1][0], r, head) for i, (r, head) in enumerate(firsts)]
-    heads = docs.sparkSession.createDataFrame(before, "__to int, __range int, __head bigint")
-    rows, ids = placed.select("doc_id", "text", "__range", "__order", *[c for c in columns if c not in ("doc_id", "text")]), F.broadcast(heads).alias("h")
-    found = rows.alias("r").join(ids, F.expr("r.__range = h.__range AND r.doc_id <=> h.__head"))
+    Ids are cut into ranges by their quantiles, each sorted on its own; each range also gets a copy of the first row of
+    the range below it, so that no task sorts all rows. Ids are integers; rows of one id stay in one range. `prepare`
+    adds columns to rows before they are sorted."""
+    ends = ranges_of(docs, size)
+    placed = docs.withColumn("__range", range_of(F.col("doc_id"), ends)).withColumn("__order", F.xxhash64(F.coalesce("text", F.lit(""))))
+    light = placed.groupBy("__range").agg(F.max("doc_id").alias("__head"))
+    # Every range but the first and that of nulls holds an end; those that hold none may be empty.
+    held = sorted(r["__range"] for r in light.filter(F.col("__range").isin(0, 1, len(ends), len(ends) + 1)).select("__range").collect())
+    if not held:
+        return (prepare(docs) if prepare else docs).select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+    low, high = held[0], held[-1]
+    heads = light.select(F.when(F.col("__range") == low, high).otherwise(F.col("__range") - 1).alias("__to"), F.col("__range").alias("__from"), "__head")
+    heads = (F.broadcast(heads) if len(ends) <= FEW else heads).alias("h")
+    rows = placed.select("doc_id", "text", "__range", "__order", *[c for c in columns if c in docs.columns and c not in ("doc_id", "text")])
+    found = rows.alias("r").join(heads, F.expr("r.__range = h.__from AND r.doc_id <=> h.__head"))
     first_of = found.selectExpr("h.__to", "r.*", "row_number() OVER (PARTITION BY r.__range ORDER BY r.__order, r.text) AS __n").filter("__n = 1")
     extra = first_of.withColumn("__range", F.col("__to")).drop("__to", "__n").withColumn("__extra", F.lit(True))
     both = placed.withColumn("__extra", F.lit(False)).unionByName(extra, allowMissingColumns=True)
+    if prepare:
+        both = prepare(both)
+    order = [F.col("doc_id").desc_nulls_last(), F.col("__order"), F.col("text")]
     w = Window.partitionBy("__range").orderBy(F.col("__extra"), *order)
     return (
         both.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns))
@@ -123,8 +149,8 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     """Every row of docs(doc_id, text) with the sketches of its text, its edited text and the next row's text.
 
     The edit replaces the last half (rounded down) of the characters by the first as many of the next text."""
-    own = sketched(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sketch")
-    following = with_next(own, ["text", "sketch"])
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    following = with_next(own, ["text", "sketch"], prepare=lambda rows: sketched(rows, "text", "sketch"))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - int(floor(length(text) / 2)))"), F.substring(F.col("next_text"), F.lit(1), half))
     changed = following.select("doc_id", "sketch", "next_sketch", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
