@@ -1,10 +1,9 @@
 """Toxicity by bags of subwords: embeddings of character n-grams, averaged, under a linear softmax.
 
 A word's vector is the mean of the vectors of its n-grams (and of itself), a text's vector the mean over its distinct
-words, so
-misspellings that were never seen share vectors with words that were. Embeddings and softmax are trained jointly, in
-numpy on the driver, on a bounded sample: `SAMPLE` labelled rows of each class, those with the smallest hashes of their
-ids. Vectors of n-grams that don't tell the classes apart there stay zero, else long texts would be learned by heart. As
+words, so misspellings that were never seen share vectors with words that were. Embeddings and softmax are trained
+jointly, in numpy on the driver, on a bounded sample: `SAMPLE` labelled ids of each class, those with the smallest
+hashes, and of each id one text, that with the smallest hash. Vectors of n-grams that don't tell the classes apart there stay zero, else long texts would be learned by heart. As
 everything up to the softmax is linear, a trained model is one number for each bucket of n-grams; that table of
 `BUCKETS` numbers is broadcast, and whole texts are scored in Spark's tasks.
 
@@ -133,7 +132,9 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         own = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = own if chosen is None else chosen.union(own)
     chosen = F.broadcast(materialized(chosen, "toxicity-sample"))  # 2 * sample rows at most
-    texts = materialized(docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(chosen, "doc_id"), "toxicity-texts")
+    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    one = held.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # ids may repeat
+    texts = materialized(one.select("doc_id", "toxic", F.col("text").cast("binary").alias("text")), "toxicity-texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((BUCKETS, 2), np.int64)
@@ -154,10 +155,11 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             own = [features(t.as_py() or b"", kept) for t in batch.column("text")]
             columns = [pa.array([x[i].tobytes() for x in own], pa.binary()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns, batch.column("toxic").cast(pa.int32())], ["doc_id", "buckets", "weights", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, batch.column("toxic").cast(pa.int32())], ["doc_id", "buckets", "weights", "toxic"])
 
-    rows = texts.mapInArrow(extract, "doc_id long, buckets binary, weights binary, toxic int").collect()
-    rows = sorted((r.doc_id, bytes(r.buckets), bytes(r.weights), r.toxic) for r in rows)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = texts.mapInArrow(extract, f"doc_id {kind}, buckets binary, weights binary, toxic int").collect()  # 2 * sample at most
+    rows = sorted((str(r.doc_id), bytes(r.buckets), bytes(r.weights), r.toxic) for r in rows)
     return trained([(np.frombuffer(b, np.int32), np.frombuffer(w, np.float32), label) for _, b, w, label in rows])
 
 

@@ -3,6 +3,9 @@
 Both derivatives refer to their response by WARC-Refers-To and keep its target, its date, its HTTP headers and its block
 and payload digests. Record ids are named by what they stand for, so a job that runs twice gives the same records.
 
+Targets are written with control characters and blanks percent-encoded, so no url can add a header. `records` reads
+responses from WARC files.
+
 Defined cases: a null page is an empty body; a null url leaves the target out; a response that isn't HTTP is taken as a
 payload without headers; unclosed scripts, styles and comments reach to the end of the page; rows that repeat are all
 kept and have equal ids; extra columns are ignored; an empty table gives no records.
@@ -18,7 +21,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SOFTWARE = "lumenlake-derivatives/1"
@@ -52,6 +55,13 @@ def plain_text(page: str) -> str:
     return _LINES.sub("\n", _BLANKS.sub(" ", entities.unescape(shown))).strip()
 
 
+def target(url: Column) -> Column:
+    """A url that fits on a header's line: control characters and blanks are percent-encoded."""
+    for b in (*range(0x21), 0x7F):
+        url = F.replace(url, F.lit(chr(b)), F.lit(f"%{b:02X}"))
+    return url
+
+
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """(page_id, record_id, target_uri, date, block): pages(page_id, url, html) as response records."""
     body = F.encode(F.coalesce("html", F.lit("")), "utf-8")
@@ -59,12 +69,45 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     return pages.select(
         "page_id",
         _named(F.lit("response"), F.col("page_id").cast("string"), F.col("url")).alias("record_id"),
-        F.col("url").alias("target_uri"),
+        target(F.col("url")).alias("target_uri"),
         F.lit(date).alias("date"),
         F.concat(F.encode(head, "utf-8"), body).alias("block"),
     )
 
 
+_RECORDS = "\r\n\r\nWARC/1.1\r\n"
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """(record_type, record_id, target_uri, date, block, whole) of the records in WARC/1.1 files at `path`.
+
+    Files are cut at the line between two records, by Spark's reader of texts, which splits files that aren't compressed
+    and streams those that are; no file is held whole. A block that holds that line itself is cut there: it is shorter
+    than its header says, and `whole` is false. Lines that begin no record are left out."""
+    raw = spark.read.option("lineSep", _RECORDS).text(path).select(F.col("value").cast("binary").alias("raw"))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = [_record(r) for r in batch.column("raw").slice(at, 256).to_pylist()]
+                columns = zip(*(r for r in rows if r), strict=True)
+                kinds = (*[pa.string()] * 4, pa.binary(), pa.bool_())
+                made = [pa.array(c, k) for c, k in zip(columns, kinds)] or [pa.array([], k) for k in kinds]
+                yield pa.RecordBatch.from_arrays(made, ["record_type", "record_id", "target_uri", "date", "block", "whole"])
+
+    return raw.mapInArrow(parse, "record_type string, record_id string, target_uri string, date string, block binary, whole boolean")
+
+
+def _record(raw: bytes) -> tuple | None:
+    head, mark, block = raw.removeprefix(b"WARC/1.1\r\n").partition(b"\r\n\r\n")
+    fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n"))}
+    if not mark or "warc-type" not in fields:
+        return None
+    length = fields.get("content-length", "")
+    n = int(length) if length.isdigit() else -1
+    return fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), block[:n] if n >= 0 else block, 0 <= n <= len(block)
+
+
 def _named(*parts: Column) -> Column:
     """A record id by SHA-1 of the parts, with the version and variant bits of a named uuid."""
     x = F.sha1(F.array_join(F.array(*(F.coalesce(p, F.lit("")) for p in parts)), "\n").cast("binary"))
@@ -94,7 +137,7 @@ def derived(response_id: str, target: str | None, date: str, block: bytes) -> li
     except LookupError:
         page = payload.decode("utf-8", "replace")
     source = [("source-block-digest", digest(block)), ("source-payload-digest", digest(payload))]
-    fields = [*source, ("http-status", status), *((f"http-header-{k}", v) for k, v in headers)]
+    fields = [*source, ("http-status", status), *((f"http-header-{k}", " ".join(v.split())) for k, v in headers)]
     for name, found in (("title", _TITLE.search(page)), ("language", _LANG.search(page))):
         if found:
             fields.append((name, " ".join(entities.unescape(found[1]).split())))
@@ -159,7 +202,9 @@ def serialized(records: DataFrame) -> DataFrame:
         ("Content-Type", "content_type"),
         ("Content-Length", "content_length"),
     ]
-    head = F.concat_ws("\r\n", F.lit("WARC/1.1"), *(F.concat(F.lit(k + ": "), F.col(c).cast("string")) for k, c in lines))
+    controls = "".join(map(chr, (*range(0x20), 0x7F)))
+    value = lambda c: target(F.col(c)) if c == "target_uri" else F.translate(F.col(c).cast("string"), controls, "")
+    head = F.concat_ws("\r\n", F.lit("WARC/1.1"), *(F.concat(F.lit(k + ": "), value(c)) for k, c in lines))
     return records.withColumn("warc", F.encode(F.concat(head, F.lit("\r\n\r\n"), F.col("block"), F.lit("\r\n\r\n")), "utf-8"))
 
 
