@@ -80,9 +80,47 @@ def test_licenses_of_repeated_rows(spark):
 
 def test_license_notice_with_edits(spark):
     notice = license.NOTICES["mit"][0].replace("hereby", "now hereby").replace("obtaining", "who obtains")
-    got = license.licenses(made(spark, [(1, f"Intro words. {notice} end."), (2, "permission to copy this software")])).orderBy("doc_id").collect()
-    assert [r.labels for r in got] == ["mit", ""]
-    assert [r.base_labels for r in got] == ["", ""]
+    split = license.NOTICES["mit"][0].split(" ")
+    inside = lambda extra: " ".join([*split[:12], *extra.split(" "), *split[12:]])
+    texts = [f"Intro words. {notice} end.", "permission to copy this software", inside("permission is hereby"), inside("one two three four five"), "permission is hereby granted " * 9]
+    got = license.licenses(made(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == ["mit", "", "mit", "mit", ""]
+    assert {r.base_labels for r in got} == {""}
+
+
+def brute_notices(text):
+    """Labels by diagonals, text by text."""
+    w, found = words(text), set()
+    for label, lines in license.NOTICES.items():
+        for t in map(words, lines):
+            by = defaultdict(set)
+            for i in range(len(w) - 2):
+                for j in range(len(t) - 2):
+                    if w[i : i + 3] == t[j : j + 3]:
+                        by[i - j].add(j)
+            held, before = set(), None
+            for d in sorted(by):
+                held = (set() if before is None or d - before > len(t) / 2 else held) | {x for j in by[d] for x in (j, j + 1, j + 2)}
+                before = d
+                if len(held) >= 0.8 * len(t):
+                    found.add(label)
+    return found
+
+
+def test_license_labels_by_brute_force(spark):
+    rng = random.Random(8)
+    texts = {r["doc_id"]: r["text"] for r in table(spark, "documents")}
+    for lines in license.NOTICES.values():
+        for line in lines:
+            for _ in range(6):  # words lost, added and changed
+                w = line.split()
+                for _ in range(rng.randrange(4)):
+                    at = rng.randrange(len(w))
+                    w[at : at + rng.randrange(2)] = ["odd"] * rng.randrange(5)
+                texts[len(texts) + 10**6] = " ".join(["before", *w, "after", *rng.choices(line.split(), k=30)])
+    got = {r.doc_id: (set(filter(None, r.labels.split(","))), set(filter(None, r.base_labels.split(",")))) for r in license.licenses(made(spark, list(texts.items()))).collect()}
+    assert got and all(labels == brute_notices(texts[i]) | base for i, (labels, base) in got.items())
+    assert sum(bool(labels - base) for labels, base in got.values()) > 30 and sum(i >= 10**6 and not labels for i, (labels, _) in got.items()) > 5
 
 
 def brute_contamination(docs, items):
@@ -118,6 +156,8 @@ def test_contamination_of_awkward_rows(spark):
     key = lambda r: tuple(-1 if x is None else x for x in r)
     got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, sha(",".join(r["items"]))) for r in out), key=key)
     assert got == sorted(brute_contamination(dict.fromkeys(docs), items), key=key)
+    out = decontaminate.contamination(made(spark, docs), bench, block=7).collect()  # many blocks
+    assert got == sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, sha(",".join(r["items"]))) for r in out), key=key)
     left = {r.doc_id for r in decontaminate.decontaminated(made(spark, docs), bench).collect()}
     assert left == {r[0] for r in brute_contamination(docs, items) if not r[2]}
 
@@ -227,17 +267,18 @@ def test_sketch_of_table(spark):
     off = []
     for r in queries.op6_sketch(spark, SF).collect():
         assert (r.n_chars, r.edited_sha256) == (len(texts[r.doc_id]), sha(edited[r.doc_id]))
-        a, b = shingles(texts[r.doc_id]), shingles(edited[r.doc_id])
-        off.append(abs(r.near_edited - len(a & b) / len(a | b)))
-        if len(a) <= 16 and len(b) <= 16:
-            assert off[-1] < 1e-9
+        a = shingles(texts[r.doc_id])
+        for near, b in ((r.near_edited, shingles(edited[r.doc_id])), (r.near_next, shingles(following[r.doc_id]))):
+            off.append(abs(near - len(a & b) / len(a | b)))
+            if len(a) <= 16 and len(b) <= 16:
+                assert off[-1] < 1e-9
     assert np.mean(off) < 0.06
 
 
 def test_sketch_of_awkward_rows(spark):
     rows = [(4, "a b c d e f"), (3, None), (2, "ü" * 9), (2, "a b c d e f"), (None, "last one"), (None, "last two"), (1, "x y z " * 30000)]
-    for ranges in (1, 3, 512):
-        own = sketch.with_next(made(spark, rows), ["text"], ranges).collect()
+    for size in (1, 90_000, 1 << 27):
+        own = sketch.with_next(made(spark, rows), ["text"], size).collect()
         assert len(own) == len(rows)
         assert sorted(str(r.text) for r in own) == sorted(str(r.next_text) for r in own)
         assert {r.next_text for r in own if r.doc_id == 4} == {None}
@@ -246,6 +287,25 @@ def test_sketch_of_awkward_rows(spark):
     assert one.edited == "ab ab" and one.n_chars == 5
 
 
+def test_ranges_of_uneven_ids(spark):
+    ids = [*range(300), 10**15, -(10**12), *[7] * 50, None, None]
+    rows = [(i, f"text {i} {n}") for n, i in enumerate(ids)]
+    for size in (1, 40, 1000):
+        docs = made(spark, rows)
+        ends = sketch.ranges_of(docs, size)
+        placed = docs.select("doc_id", sketch.range_of(F.col("doc_id"), ends).alias("at")).collect()
+        key = lambda i: (i is None, -(i or 0))
+        assert [r.at for r in sorted(placed, key=lambda r: key(r.doc_id))] == sorted(r.at for r in placed)
+        assert size > 1 or len({r.at for r in placed}) > 250
+        own = sketch.with_next(docs, ["text"], size).collect()
+        following = sorted(own, key=lambda r: key(r.doc_id))
+        assert len(own) == len(rows) and sorted(r.text for r in own) == sorted(r.next_text for r in own)
+        unique = [r for r in following if ids.count(r.doc_id) == 1]
+        for r in unique:
+            after = next((x for x in following if key(x.doc_id) > key(r.doc_id)), following[0])
+            assert ids.count(after.doc_id) > 1 or r.next_text == after.text
+
+
 def test_merged_sketches(spark):
     rng = random.Random(5)
     a, b = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=n)) for n in (900, 40))
@@ -279,10 +339,34 @@ def test_urls(spark):
 
 
 def test_mined_rules_by_count(spark):
-    rows = [r for r in urls.parsed(spark.read.parquet(f"{SF}/pages.parquet")).collect() if r.given]
-    found = urls.mined(spark.createDataFrame([(r.tokens, r.given.verdict) for r in rows], "tokens array<string>, verdict string"), 0.05, 0.6).collect()
+    rows = urls.parsed(spark.read.parquet(f"{SF}/pages.parquet"))
+    rows = [(r.tokens, r.label, r.given, r.page_id) for r in rows.withColumn("label", urls.labelled(rows)).collect()]
+    found = urls.mined(spark.createDataFrame([r[:2] for r in rows], "tokens array<string>, verdict string"), 0.05, 0.6).collect()
     assert found
     for f in found:
-        held = [r for r in rows if set(f.tokens) <= set(r.tokens)]
-        agree = sum(r.given.verdict == f.verdict for r in held)
+        held = [r for r in rows if set(f.tokens) <= set(r[0])]
+        agree = sum(label == f.verdict for _, label, _, _ in held)
         assert abs(agree / len(held) - f.confidence) < 1e-9 and abs(agree / len(rows) - f.support) < 1e-9
+    # No url of the table has more tokens than mining looks at, so the same rules judge.
+    assert max(len(r[0]) for r in rows) <= urls.MOST
+    got = {r.page_id: r for r in urls.judged(spark.read.parquet(f"{SF}/pages.parquet"), support=0.05).collect()}
+    for tokens, _, given, page in rows:
+        fit = [(f.confidence, f.support, len(f.tokens), " ".join(f.tokens), f.verdict) for f in found if set(f.tokens) <= set(tokens)]
+        assert got[page].verdict == (given.verdict if given else max(fit)[-1] if fit else urls.DEFAULT)
+        assert given or got[page].mined_rule == (max(fit)[3] if fit else None)
+
+
+def test_url_labels_of_held_out_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = urls.judged(pages, train=F.crc32("url") % 5 != 0).filter("rule IS NULL").filter(F.crc32("url") % 5 == 0).collect()
+    bad = [r for r in got if set(re.split("[.-]", r.host)) & set(urls.SEEDS)]
+    assert bad and np.mean([r.verdict == "block" for r in bad]) >= 0.9
+    assert np.mean([r.verdict == "allow" for r in got if r not in bad]) > 0.95
+
+
+def test_baskets_of_many_tokens(spark):
+    rows = [(i, f"http://a-b-c-d-e-f.x{i % 2}.example.com/" + "/".join(f"s{j}" for j in range(20)) + "?" + "&".join(f"k{j}=1" for j in range(20))) for i in range(40)]
+    got = urls.judged(spark.createDataFrame(rows, "page_id long, url string"), seeds=("x1",)).collect()
+    assert len(got) == 40 and {r.page_id: r.verdict for r in got} == {i: "block" if i % 2 else "allow" for i in range(40)}
+    parsed = urls.parsed(spark.createDataFrame(rows, "page_id long, url string")).first()
+    assert {"segment:s19", "query:k19"} <= set(parsed.tokens)
