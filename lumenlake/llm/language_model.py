@@ -5,7 +5,7 @@ c, is put into one filter once for every level up to its quantised logarithm; a
 level until one is missing. Levels overestimate where a bit pattern collides, and never underestimate.
 
 The filter is cut into segments by key. A segment is sized by its own n-grams (`BITS_EACH` bits for each of their levels,
-about 0.2 GB for a GB of compressed texts) and filled where the shuffle that adds up the counts has brought them. Up to `BROADCAST`
+about 0.12 GB for a GB of compressed texts) and filled where the shuffle that adds up the counts has brought them. Up to `BROADCAST`
 bytes all segments are broadcast together. A larger filter stays apart: the keys that documents ask for are sent to their
 segments, probed there, and sent back; the keys that most documents ask for are broadcast with their counts, so that no
 segment gets a third of all questions. Both ways give the same scores.
@@ -41,7 +41,7 @@ BROADCAST = 1 << 27
 #: Documents for each segment, about.
 SEGMENT = 256
 #: Bits for each n-gram and level, and probes.
-BITS_EACH, PROBES = 12, 5
+BITS_EACH, PROBES = 8, 5
 #: Ratio of counts between levels.
 RATIO = 1.5
 LEVELS = 110
@@ -323,7 +323,7 @@ def scored(docs: DataFrame, most: int = BROADCAST, each: int = BITS_EACH) -> Dat
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, (known, known_n) = shared.value
         row = TaskContext.get().partitionId() << 33
-        for batch in _parts(batches):
+        for batch in _parts(batches, 2_000_000):
             token, before, sizes = _batch(batch.column("text").to_pylist())
             doc = np.repeat(np.arange(len(sizes)), sizes)
             single, at = np.unique(token, return_inverse=True)
