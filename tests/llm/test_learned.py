@@ -60,15 +60,34 @@ def test_nbest_texts_by_brute_force():
         assert [s for s, _ in got] == [s for s, _ in every[:6]] and len(got) == min(6, len(every))
         assert len({tuple(i) for _, i in got}) == len(got)
         assert {pieces.decode(v, i) for _, i in got} == {text}
-        ids, score, change = encoder.best(text)
-        assert score == every[0][0] and pieces.decode(v, ids) == text
+        found, at = encoder.best(["x", text, "y z"])
+        (score, loss, gone), at = (float(x[1]) for x in (found.score, found.loss, found.gone)), int(at[1])
+        ids, new = (x[n[0] : n[0] + n[1]].tolist() for x, n in ((found.own, found.own_n), (found.new, found.new_n)))
+        assert (score, tuple(ids)) in every and score == every[0][0]
         if len(every) > 1:
-            loss, at, gone, new = change
-            other = pieces.changed(ids.tolist(), at, gone, new)
-            assert score - loss == every[1][0] and pieces.decode(v, other) == text and other != ids.tolist()
-            assert any(tuple(other) == i and s == score - loss for s, i in every)
+            other = pieces.changed(ids, at, int(gone), new)
+            assert score - loss == every[1][0] and other != ids and (score - loss, tuple(other)) in every
         else:
-            assert change is None
+            assert loss == np.inf
+
+
+def test_units_side_by_side():
+    v = pieces.vocabulary()
+    encoder = pieces.Encoder(v)
+    rng = random.Random(2)
+    some = ["".join(rng.choices("aeionrst,.'éß -", k=rng.randrange(14))).lstrip(" ") for _ in range(3000)] + ["日a", "▁", "x" * 200, "", "\t"]
+    some = sorted({u for t in some for u in pieces.units(t)})
+    found, alone = pieces.two_best(encoder.trie, [" " + u for u in some if len(u) < 60]), encoder.alone([" " + u for u in some])
+    for got, asked in ((found, [u for u in some if len(u) < 60]), (alone, some), (encoder.best([u for u in some if " " not in u])[0], [u for u in some if " " not in u])):
+        a = c = 0
+        for u, b, d, score, loss, gone in zip(asked, got.own_n, got.new_n, got.score, got.loss, got.gone, strict=True):
+            want = pieces.nbest_word(v, " " + u, 2)
+            ids, new = got.own[a : a + b].tolist(), got.new[c : c + d].tolist()
+            assert score == want[0][0] and pieces.decode(v, ids) == u and (loss == np.inf) == (len(want) == 1)
+            if len(want) > 1:
+                other = pieces.changed(ids, 0, int(gone), new)
+                assert score - loss == want[1][0] and pieces.decode(v, other) == u and other != ids
+            a, c = a + b, c + d
 
 
 def test_sentencepiece_round_trips(spark):
