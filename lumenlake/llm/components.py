@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from lumenlake.llm.common import materialized
 
 
+#: A key of more rows than this share of all is hot; so there are a thousand at most.
+HOT = 1 / 1000
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """`rows` left-joined with table(key, ...), which has a row for each key at most. Rows of hot keys stay where they
+    are and get what the table has for them by broadcast; all others are shuffled."""
+    crowded = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > rows.count() * HOT).select(key))
+    few = F.broadcast(table.join(crowded, key, "left_semi"))
+    hot = rows.join(crowded, key, "left_semi").join(few, key, "left")
+    return hot.unionByName(rows.join(crowded, key, "left_anti").join(table, key, "left"))
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step on edges(a, b) with a > b: every edge then points at a smaller node."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.llm.common import materialized, with_key
-from lumenlake.llm.components import components
+from lumenlake.llm.components import components, joined
 
 RADIUS = 3
 SEED = 42
@@ -164,20 +164,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) -> Da
     )  # copies meet in partial sums before the shuffle
     roots = components(links(distinct, crowd))
     # Only fingerprints that have links are regrouped; the others are components of their own.
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+    rooted = materialized(
+        distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "simhash-roots"
     )
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select(F.col("fp").alias("named_fp"), "component_id")
-    return prints.join(named, prints.fp == named.named_fp, "left").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    named = materialized(joined(rooted, smallest, "root").select("fp", "component_id"), "simhash-named")
+    return joined(prints, named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # What follows finds near copies for filtering: texts whose sets of five-word shingles have a Jaccard likeness of
 # SIMILARITY or more. Their 64-bit fingerprints differ in ten bits, beyond any ball, so the sets themselves are joined.
 
 SIMILARITY = 0.8
+#: Bits of a set's parities.
+PARITIES = 1024
+#: Turns in which buckets have one hub each; what these connect isn't paired.
+HUBS = 4
 #: Shingles that are known to be common, at most; they only order the others.
 ORDERED = 1 << 17
 
@@ -192,6 +194,25 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(grams)).view(np.int64))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """PARITIES bits: of how many hashes fall on each, whether it is odd. Two sets differ in as many elements at least
+    as their bits do, since what both hold cancels out."""
+    odd = np.bincount((hashes.view(np.uint64) % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+def _near(a: str, b: str) -> str:
+    """SQL: two sets' sizes, places of a common shingle and parities allow for SIMILARITY."""
+    at_most = f"{(1 - SIMILARITY) / (1 + SIMILARITY)} * ({a}.n + {b}.n) + 1e-6"
+    apart = " + ".join(f"bit_count({a}.bits[{i}] ^ {b}.bits[{i}])" for i in range(PARITIES // 64))
+    return (
+        f"least({a}.n, {b}.n) >= {SIMILARITY} * greatest({a}.n, {b}.n) - 1e-6"
+        # What both can share at most: all before the lesser place, and all from there on in the set with less left.
+        f" AND least({a}.pos, {b}.pos) + least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {SIMILARITY / (1 + SIMILARITY)} * ({a}.n + {b}.n) - 1e-6"
+        f" AND {apart} <= {at_most}"
+    )
+
+
 def prefix_length(n: int) -> int:
     """Sets alike by SIMILARITY share one of so many of their first shingles, in any order that all sets follow."""
     return n - math.ceil(SIMILARITY * n - 1e-9) + 1
@@ -236,10 +257,10 @@ def copy_groups(docs: DataFrame, shingle: int = 5, crowd: int = CROWD) -> DataFr
     """(doc_id, text_hash, root) for every row of docs(doc_id, text): near copies, and what they connect, share a root.
 
     A prefix join, exact: the shingles of every set are put in one order, the rarest first; sets that are alike share a
-    shingle among their first fifth, and all that do are candidates if their sizes and places allow the likeness. Equal
-    sets are one node. Every candidate pair is verified on the whole texts, except within what is already connected:
-    first every node of a bucket is held against one of them, then all pairs whose components differ. Buckets of
-    more than `crowd` nodes are cut into blocks of that size, each pair of blocks on its own."""
+    shingle among their first fifth, and all that do are candidates if their sizes, places and parities allow the
+    likeness. Equal sets are one node. Every candidate pair is verified on the whole texts, except within what is already connected:
+    in `HUBS` turns every node of a bucket is held against one of them, then all pairs whose components differ. Buckets
+    of more than `crowd` nodes are cut into blocks of that size, each pair of blocks on its own."""
     keyed = with_key(docs)
     ordered = docs.sparkSession.sparkContext.broadcast(common_shingles(keyed, shingle))
 
@@ -248,44 +269,50 @@ def copy_groups(docs: DataFrame, shingle: int = 5, crowd: int = CROWD) -> DataFr
         sort = np.argsort(common)
         known = common[sort]
         for batch in batches:
-            nodes, sizes, firsts = [], [], []
+            nodes, sizes, firsts, bits = [], [], [], []
             for t in batch.column("text"):
                 own = shingle_set(t.as_py() or b"", shingle)
                 at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
                 rank = np.where(known[at] == own, sort[at] + 1, 0) if len(known) else np.zeros(len(own), np.int64)
                 nodes.append(xxhash.xxh3_64_intdigest(own.tobytes()))
                 sizes.append(len(own))
+                bits.append(parities(own))
                 firsts.append(own[np.argsort(rank, kind="stable")[: prefix_length(len(own))]])
             ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
             first = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), first],
-                ["doc_id", "text_hash", "node", "n", "first"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), first, pa.array(bits, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "node", "n", "first", "bits"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     asked = keyed.select("doc_id", "text_hash", F.col("text").cast("binary").alias("text"))
-    prints = materialized(asked.mapInArrow(place, f"doc_id {kind}, text_hash long, node long, n int, first array<long>"), "copies-prints")
-    sets = prints.dropDuplicates(["node"]).select("node", "n", F.posexplode("first").alias("pos", "gram"))
-    buckets = materialized(
-        sets.selectExpr(
-            "*",
-            "count(*) OVER (PARTITION BY gram) AS held",
-            "min(struct(node, n)) OVER (PARTITION BY gram) AS hub",
-        ).filter("held > 1").drop("held"),
-        "copies-buckets",
-    )
+    prints = materialized(asked.mapInArrow(place, f"doc_id {kind}, text_hash long, node long, n int, first array<long>, bits array<long>"), "copies-prints")
+    # Copies meet in partial aggregates before the shuffle.
+    once = materialized(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"), F.first("bits").alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("of")), "copies-nodes")
+    sets = once.select("node", "n", F.posexplode("first").alias("pos", "gram"))
+    held = materialized(sets.selectExpr("*", "count(*) OVER (PARTITION BY gram) AS held").filter("held > 1").drop("held"), "copies-held")
     # One text of each node that has candidates.
-    named = prints.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"))
-    d, r = asked.alias("d"), named.alias("r")
+    named = once.join(held.select("node").distinct(), "node", "left_semi")
+    buckets = materialized(held.join(named.select("node", "bits"), "node"), "copies-buckets")
+    d, r = asked.alias("d"), named.select("node", "of").alias("r")
     same = F.expr("d.doc_id <=> r.of.doc_id AND d.text_hash = r.of.text_hash")
     texts = d.join(r, same).select("r.node", F.coalesce("d.text", F.lit(b"")).alias("text")).dropDuplicates(["node"])
     texts = materialized(texts, "copies-texts")
-    near = f"least({{0}}, {{1}}) >= {SIMILARITY} * greatest({{0}}, {{1}}) - 1e-6"
-    hubs = buckets.filter("node <> hub.node").filter(near.format("n", "hub.n"))
-    tried = materialized(_alike(hubs.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), texts, shingle), "copies-hubs")
-    roots = components(tried.filter("alike").select("a", "b")).withColumnRenamed("node", "own")
-    rooted = buckets.join(roots, F.col("node") == F.col("own"), "left").select("gram", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+    tried, rooted = None, buckets.withColumn("root", F.col("node"))
+    for turn in range(HUBS):
+        # Another node of each bucket in turn is its hub; a node is held against one hub of each component that it meets.
+        hub = f"min(struct(xxhash64(root, {turn}) AS order, xxhash64(node, {turn}) AS turn, node, n, pos, root, bits)) OVER (PARTITION BY gram)"
+        met = rooted.selectExpr("struct(node, n, pos, root, bits) AS x", f"{hub} AS y").filter("x.root <> y.root").filter(_near("x", "y"))
+        hubs = met.groupBy("x.node", "y.root").agg(F.min(F.struct("y.turn", "y.node")).alias("hub")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+        hubs = hubs.join(tried, ["a", "b"], "left_anti") if tried is not None else hubs
+        found = materialized(_alike(hubs, texts, shingle), "copies-hubs")
+        tried = found if tried is None else tried.union(found)
+        if found.filter("alike").isEmpty():
+            break
+        roots = components(tried.filter("alike").select("a", "b")).withColumnRenamed("node", "own")
+        rooted = buckets.join(roots, F.col("node") == F.col("own"), "left").select("gram", "node", "n", "pos", "bits", F.coalesce("root", "node").alias("root"))
+        rooted = materialized(rooted, "copies-rooted")
     mixed = materialized(
         rooted.selectExpr(
             "*",
@@ -297,19 +324,16 @@ def copy_groups(docs: DataFrame, shingle: int = 5, crowd: int = CROWD) -> DataFr
     )
     x = mixed.selectExpr("*", "part AS low", "explode(sequence(part, last)) AS high").alias("x")
     y = mixed.selectExpr("*", "part AS high", "explode(sequence(0, part)) AS low").alias("y")
-    # What both can share at most: all before the lesser place, and all from there on in the set with less left.
-    most = f"least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= {SIMILARITY / (1 + SIMILARITY)} * (x.n + y.n) - 1e-6"
     pairs = (
         x.join(y, F.expr("x.gram = y.gram AND x.low = y.low AND x.high = y.high AND x.node < y.node AND x.root <> y.root"))
-        .filter(near.format("x.n", "y.n"))
-        .filter(most)
+        .filter(_near("x", "y"))
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
     others = materialized(_alike(pairs, texts, shingle), "copies-pairs")
-    whole = components(tried.union(others).filter("alike").select("a", "b")).withColumnRenamed("node", "own")
-    return prints.join(whole, F.col("node") == F.col("own"), "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+    whole = components(tried.union(others).filter("alike").select("a", "b"))
+    return joined(prints.select("doc_id", "text_hash", "node"), whole, "node").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, crowd: int = CROWD) -> DataFrame:
