@@ -76,6 +76,81 @@ def unprocessed(asked: DataFrame, *tables: tuple[DataFrame, Column], id_: str =
     return out.filter(todo).select(id_, order).orderBy(order)
 
 
+def unprocessed_photos(
+    asked: DataFrame, photos: DataFrame, faces: DataFrame, cloud: DataFrame, tasks: list[str], *,
+    regenerate: bool = True, owner: str | None = None, face_model: str = "", species_model: str | None = None,
+) -> DataFrame:
+    """The ids of asked(id, position) that any of the tasks is still to be done for, in the order asked.
+
+    Tasks are embeddings, metadata, faces, vertexai, species and cull; unknown ones ask for nothing. With `regenerate`
+    all is done anew. Each photo of photos(id, ...) has its flags as strings, null where the key is missing; of photos
+    with catalogs only those of `owner` count, if that is given. faces(face_id) are stored faces, cloud(id) photos with
+    a vector made elsewhere. Faces and species found by another model than the present one are outstanding;
+    `species_model` is null where none is loaded, and then what is stored is taken as it is."""
+    known = {"embeddings", "metadata", "faces", "vertexai", "species", "cull"} & set(tasks)
+    if regenerate:
+        return (asked if known else asked.limit(0)).select("id", "position").orderBy("position")
+    own = photos.filter(F.array_contains("catalogs", owner)) if owner else photos
+    held = faces.select(F.regexp_extract("face_id", r"^(.*)_[^_]*$", 1).alias("__face")).distinct()
+    away = cloud.select(F.col("id").cast("string").alias("__cloud")).distinct()
+    own = own.drop("catalogs").withColumnRenamed("id", "__id").withColumn("__there", F.lit(True))
+    rows = asked.join(own, F.col("id") == F.col("__id"), "left").join(held, F.col("id").cast("string") == F.col("__face"), "left").join(away, F.col("id").cast("string") == F.col("__cloud"), "left")
+    flag = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    checked = F.col("__face").isNotNull() | F.coalesce(F.col("faces_checked") == "true", F.lit(False))
+    done = {
+        "embeddings": flag("has_embedding"),
+        "metadata": flag("title") | flag("caption") | flag("alt_text") | flag("keywords"),
+        "faces": checked & F.coalesce(F.col("face_model") == face_model, F.lit(False)),
+        "vertexai": F.col("__cloud").isNotNull(),
+        "cull": F.col("cull_faces_present").isNotNull(),
+        "species": flag("species_checked") & (F.coalesce(F.col("species_model") == species_model, F.lit(False)) if species_model is not None else F.lit(True)),
+    }
+    todo = ~flag("cull_phash") if known else F.lit(False)
+    for task in sorted(known):
+        todo = todo | ~done[task]
+    return rows.filter(todo).select("id", "position").orderBy("position")
+
+
+# Keys of what a model has made of a photo.
+AI_KEYS = (
+    "title", "caption", "keywords", "alt_text", "model", "run_date", "tokens_used", "flattened_keywords", "edit_recipe", "edit_summary", "edit_warnings",
+    "edit_model", "edit_provider", "edit_run_date", "species_taxonomy", "species_rank", "species_scientific_name", "species_common_name", "species_confidence",
+    "species_alternatives", "species_checked", "species_model",
+)
+
+
+def cleared(photos: DataFrame, ids: DataFrame) -> DataFrame:
+    """photos(id, metadata, ...) whose ids are asked for lose the keys of AI_KEYS from their metadata, a map of strings.
+
+    Rows and vectors stay, so the photos count as unprocessed and stay searchable."""
+    asked = ids.select(F.col("id").alias("__asked")).distinct()
+    left = F.map_filter("metadata", lambda k, v: ~k.isin(*AI_KEYS))
+    marked = photos.join(asked, F.col("id") == F.col("__asked"), "left")
+    return marked.withColumn("metadata", F.when(F.col("__asked").isNotNull(), left).otherwise(F.col("metadata"))).drop("__asked")
+
+
+def photo_data(photos: DataFrame, ids: DataFrame, owner: str | None = None) -> DataFrame:
+    """What is known of the photos asked for, of photos(id, catalogs, metadata): one row each, none for unknown ids or
+    photos of other catalogs.
+
+    JSON texts are parsed; a recipe or warnings that can't be are left out, as are keywords. `species` is null for a
+    photo that was never checked, which is not the same as one in which nothing was found."""
+    own = get(photos, ids)
+    own = own.filter(F.array_contains("catalogs", owner.strip())) if owner is not None else own
+    at = lambda k: F.try_element_at("metadata", F.lit(k))
+    species = F.struct(*(at(f"species_{k}").alias(k) for k in ("rank", "taxonomy", "scientific_name", "common_name", "confidence", "alternatives", "model")))
+    return own.select(
+        "id",
+        at("title").alias("title"), at("caption").alias("caption"), at("alt_text").alias("alt_text"),
+        F.from_json(at("keywords"), "array<string>").alias("keywords"),
+        F.when(F.map_contains_key("metadata", "species_checked"), species).alias("species"),
+        F.when(F.try_parse_json(at("edit_recipe")).isNotNull(), at("edit_recipe")).alias("edit"),
+        at("edit_summary").alias("edit_summary"),
+        F.coalesce(F.from_json(at("edit_warnings"), "array<string>"), F.array().cast("array<string>")).alias("edit_warnings"),
+        at("edit_model").alias("edit_model"), at("edit_run_date").alias("edit_rundate"), at("model").alias("ai_model"), at("run_date").alias("ai_rundate"),
+    )
+
+
 def replayed(log: DataFrame) -> DataFrame:
     """(id, vector) after log(id, seq, op, vector): the last operation that carries a vector or deletes decides."""
     last = log.filter("op = 'delete' OR vector IS NOT NULL").groupBy("id").agg(F.max_by(F.struct("op", "vector"), "seq").alias("last"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,14 @@ from lumenlake.plans.lineage import materialized
 
 #: Points that agglomeration takes at once; beyond it there is no result.
 MOST_POINTS = 6000
+#: Centroids that are broadcast at once.
+MOST_CENTERS = 20_000
+
+
+def _blocks(centers: DataFrame) -> list[DataFrame]:
+    """`centers` in parts that are small enough to be broadcast."""
+    n = max(1, -(-centers.count() // MOST_CENTERS))
+    return [F.broadcast(centers.filter(F.pmod(F.xxhash64("cluster"), F.lit(n)) == i) if n > 1 else centers) for i in range(n)]
 
 
 def near_pairs(points: DataFrame, cosine: float, *, id_: str = "id", vector: str = "vector") -> DataFrame:
@@ -64,15 +73,18 @@ def diagnostics(points: DataFrame, centers: DataFrame) -> DataFrame:
     spread = (
         points.join(centers, "cluster").groupBy("cluster").agg(F.count("*").alias("size"), F.avg(cosine_of_units(F.col("vector"), F.col("centroid"))).alias("spread"))
     )
-    a, b = centers.alias("a"), centers.alias("b")
-    other = a.join(b, F.expr("a.cluster <> b.cluster")).groupBy("a.cluster").agg(F.min(cosine_of_units(F.col("a.centroid"), F.col("b.centroid"))).alias("nearest_other"))
+    each = [
+        centers.alias("a").join(b.alias("b"), F.expr("a.cluster <> b.cluster")).select("a.cluster", cosine_of_units(F.col("a.centroid"), F.col("b.centroid")).alias("distance"))
+        for b in _blocks(centers)
+    ]
+    other = reduce(DataFrame.unionByName, each).groupBy("cluster").agg(F.min("distance").alias("nearest_other"))
     return spread.join(other, "cluster", "left")
 
 
 def attached(points: DataFrame, centers: DataFrame, threshold: float) -> DataFrame:
     """(id, cluster, distance): the nearest centroid within the threshold, the first by name of equal ones."""
-    pairs = points.join(F.broadcast(centers), F.lit(True)).select("id", "cluster", cosine_of_units(F.col("vector"), F.col("centroid")).alias("distance"))
-    best = pairs.groupBy("id").agg(F.min(F.struct("distance", "cluster")).alias("best"))
+    each = [points.select("id", "vector").join(c, F.lit(True)).select("id", "cluster", cosine_of_units(F.col("vector"), F.col("centroid")).alias("distance")) for c in _blocks(centers)]
+    best = reduce(DataFrame.unionByName, each).groupBy("id").agg(F.min(F.struct("distance", "cluster")).alias("best"))
     return best.select("id", F.when(F.col("best.distance") <= threshold, F.col("best.cluster")).alias("cluster"), F.col("best.distance").alias("distance"))
 
 
@@ -147,19 +159,33 @@ def canopies(points: np.ndarray, threshold: float) -> list[int]:
 
 
 def agglomerated(points: DataFrame, cosine: float, *, block: str, linkage: str = "complete") -> DataFrame:
-    """(id, block, cluster) of points(id, block, vector): clusters within each block, ids in ascending order."""
+    """(id, block, cluster) of points(id, block, vector): clusters within each block, ids in ascending order.
+
+    A block of more than MOST_POINTS is an error: its distances don't fit in a task."""
     threshold = math.sqrt(2 * cosine)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
         found = agglomerate(np.array(part["vector"].tolist()), threshold, linkage)
-        return pd.DataFrame({"id": part["id"], "block": part["block"], "cluster": found if found is not None else [-1] * len(part)})
+        if found is None:
+            raise ValueError(f"block {part['block'].iloc[0]} has {len(part)} points, more than {MOST_POINTS}")
+        return pd.DataFrame({"id": part["id"], "block": part["block"], "cluster": found})
 
     kind = points.schema[block].dataType.simpleString()
     named = points.select("id", F.col(block).alias("block"), "vector")
     return named.groupBy("block").applyInPandas(run, f"id {points.schema['id'].dataType.simpleString()}, block {kind}, cluster int")
 
 
+def weakness(det: Column, area: Column, sharpness: Column, occlusion: Column) -> Column:
+    """Why a face can't form a person of its own, or null; what wasn't measured rejects nothing. Fixed values."""
+    return (
+        F.when(det < 0.80, "low detection confidence")
+        .when(area < 0.0008, "too small in frame")
+        .when(sharpness < 0.12, "too blurry")
+        .when(occlusion > 0.55, "mostly hidden")
+    )
+
+
 def clustered_faces(faces: DataFrame, cosine: float = 0.5, least: int = 2, attach: float = 0.9) -> DataFrame:
     """(id, cluster, how) of faces(id, vector, quality, weak, pinned): how is clustered, attached or unassigned.
 
@@ -173,12 +199,14 @@ def clustered_faces(faces: DataFrame, cosine: float = 0.5, least: int = 2, attac
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["quality", "id"], ascending=[False, True]).reset_index(drop=True)
         points = np.array(part["vector"].tolist())
-        canopy = canopies(points, min(1.75 * threshold, 0.75)) if len(part) > MOST_POINTS else [0] * len(part)
+        canopy = canopies(points, math.sqrt(2 * min(1.75 * cosine, 0.75))) if len(part) > MOST_POINTS else [0] * len(part)
         names = pd.Series(-1, index=part.index, dtype="int64")
         for c in sorted(set(canopy)):
             own = [i for i, x in enumerate(canopy) if x == c]
             pins = [None if pd.isna(x) else x for x in part["pinned"].iloc[own]]
-            found = agglomerate(points[own], threshold, "complete", pins) or []
+            found = agglomerate(points[own], threshold, "complete", pins)
+            if found is None:  # a canopy that is still too large is cut by canopies of the threshold itself
+                found = canopies(points[own], threshold)
             for label in set(found):
                 rows = [i for i, x in zip(own, found, strict=True) if x == label]
                 if len(rows) >= least or any(not pd.isna(x) for x in part["pinned"].iloc[rows]):

@@ -12,11 +12,12 @@ def deduplicated(rows: DataFrame, by: str, word: str, position: str) -> DataFram
     return rows.select("*", F.row_number().over(first).alias("__n")).filter("__n = 1").drop("__n")
 
 
-def merged(keywords: Column, mapping: Column) -> Column:
-    """An array of keywords with those of the map (by lower case) replaced, each spelling once."""
-    renamed = F.transform(keywords, lambda k: F.coalesce(F.try_element_at(mapping, F.lower(k)), k))
-    lowered = F.transform(renamed, lambda k: F.lower(k))
-    return F.filter(renamed, lambda k, i: F.array_position(lowered, F.lower(k)) == i + 1)
+def merged(rows: DataFrame, by: str, word: str, position: str, mapping: dict[str, str]) -> DataFrame:
+    """(by, keywords): each list's words in their order, those of the mapping (by lower case) replaced, each spelling once."""
+    names = F.create_map(*(F.lit(x) for pair in mapping.items() for x in pair))
+    renamed = rows.withColumn(word, F.coalesce(F.try_element_at(names, F.lower(word)), F.col(word)))
+    listed = F.array_sort(F.collect_list(F.struct(position, word)))
+    return deduplicated(renamed, by, word, position).groupBy(by).agg(listed.alias("k")).select(by, F.col(f"k.{word}").alias("keywords"))
 
 
 def vocabulary(uses: DataFrame, pinned: list[str], most: int) -> DataFrame:

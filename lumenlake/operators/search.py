@@ -56,10 +56,15 @@ def relevant(found: DataFrame, strictness: int = 50, *, id_: str = "id") -> Data
     return kept.filter(stay).select(id_, "distance")
 
 
-def matching(df: DataFrame, term: str, fields: list[str]) -> DataFrame:
-    """Rows of which any field holds the term, whatever its case."""
+# The fields that are searched where none are named.
+FIELDS = ("flattened_keywords", "alt_text", "caption", "title")
+
+
+def matching(df: DataFrame, term: str, fields: list[str] | None = None) -> DataFrame:
+    """Rows of which any field holds the term, whatever its case. Without fields all of FIELDS are searched; those that
+    the rows don't have hold nothing."""
     any_of = F.lit(False)
-    for f in fields:
+    for f in (f for f in (fields or FIELDS) if f in df.columns):
         any_of = any_of | F.coalesce(F.contains(F.lower(f), F.lit(term.lower())), F.lit(False))
     return df.filter(any_of)
 

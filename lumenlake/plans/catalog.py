@@ -73,6 +73,50 @@ def unprocessed_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.unprocessed(asked, (labels, F.coalesce(F.col("quality") == 1, F.lit(False))), (vectors, F.lit(True)))
 
 
+def unprocessed_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos that lack faces, metadata, species or the cull pass, of catalog a; documents stand in for photos."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    photos = d.filter(n % 11 != 0).select(
+        n.alias("id"),
+        F.when(n % 5 != 0, F.lit(["a"])).otherwise(F.lit(["b"])).alias("catalogs"),
+        F.lit("true").alias("has_embedding"),
+        F.when(n % 3 == 0, "t").alias("title"), F.when(n % 7 == 0, "").alias("caption"), F.lit(None).cast("string").alias("alt_text"), F.when(n % 3 == 1, "k").alias("keywords"),
+        F.when(n % 13 != 0, "0f").alias("cull_phash"), F.when(n % 17 != 0, F.lit("false")).alias("cull_faces_present"),
+        F.when(n % 4 == 0, "true").alias("faces_checked"), F.when(n % 19 != 0, "now").otherwise("before").alias("face_model"),
+        F.lit("true").alias("species_checked"), F.when(n % 23 != 0, "head").alias("species_model"),
+    )
+    faces = table(spark, sf_dir, "labels").select(F.concat_ws("_", F.col("doc_id").cast("string"), F.lit("0")).alias("face_id"))
+    asked = d.select(n.alias("id"), (-n).alias("position"))
+    return catalog.unprocessed_photos(asked, photos, faces, faces.limit(0).select(F.lit(0).alias("id")), ["faces", "metadata", "species", "cull"], regenerate=False, owner="a", face_model="now", species_model="head")
+
+
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as photos with their metadata as a map, of which some keys are missing or broken."""
+    n = F.col("doc_id")
+    pair = lambda k, v: F.create_map(F.lit(k), v.cast("string"))
+    none = F.create_map().cast("map<string,string>")
+    metadata = F.map_concat(
+        pair("title", F.col("source")), pair("filename", n), pair("species_model", F.lit("head")),
+        F.when(n % 2 == 0, pair("keywords", F.concat(F.lit('["'), "lang", F.lit('","k"]')))).otherwise(none),
+        F.when(n % 3 == 0, F.map_concat(pair("species_checked", F.lit("true")), pair("species_rank", n % 7))).otherwise(none),
+        F.when(n % 5 == 0, pair("edit_recipe", F.when(n % 2 == 0, '{"exposure":1}').otherwise("{broken"))).otherwise(none),
+        F.when(n % 4 == 0, pair("edit_warnings", F.when(n % 8 == 0, '["clipped"]').otherwise("none"))).otherwise(none),
+    )
+    return table(spark, sf_dir, "documents").select(n.alias("id"), F.when(n % 6 != 0, F.lit(["a"])).otherwise(F.lit(["b"])).alias("catalogs"), metadata.alias("metadata"))
+
+
+def photo_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    d = catalog.photo_data(_described(spark, sf_dir), ids, "a")
+    return d.select("id", "title", F.array_join("keywords", "|").alias("keywords"), F.col("species.rank").alias("species_rank"), F.col("species").isNotNull().alias("checked"), "edit", F.array_join("edit_warnings", "|").alias("edit_warnings"))
+
+
+def metadata_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    c = catalog.cleared(_described(spark, sf_dir), ids)
+    return c.select("id", F.array_join(F.array_sort(F.map_keys("metadata")), ",").alias("keys"))
+
+
 def wal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a log by user: errors delete, other events carry a vector if their value is over the middle."""
     e = table(spark, sf_dir, "events")
@@ -158,7 +202,7 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(
-        "doc_id", F.md5(scalar.eszett(F.col("text"))).alias("clean_md5"), scalar.photo_id(F.when(F.col("doc_id") % 3 == 0, "  ").when(F.col("doc_id") % 3 == 1, " a "), F.col("source")).alias("photo_id"), scalar.is_raw_name(F.concat(F.col("source"), F.when(F.col("doc_id") % 2 == 0, ".NEF").otherwise(".jpg"))).alias("raw")
+        "doc_id", F.md5(scalar.eszett(F.col("text"))).alias("clean_md5"), scalar.photo_id(F.when(F.col("doc_id") % 3 == 0, "  ").when(F.col("doc_id") % 3 == 1, " a "), F.col("source")).alias("photo_id"), scalar.is_raw_name(F.concat(F.col("source"), F.element_at(F.lit([".jpg", ".NEF", ".x3f", ".dcr", "nef", ".tar.RAW"]), (F.col("doc_id") % 6 + 1).cast("int")))).alias("raw")
     )
 
 
@@ -170,7 +214,7 @@ SELECT person, c_name AS name, faces, manual, photos, thumbnail FROM r LEFT JOIN
 
 QUERIES = {
     f.__name__: f
-    for f in (ids_by_flag, point_lookup, prefix_scan, delete_cascade, metadata_upsert, metadata_merge, catalog_claim, catalog_cleanup, unprocessed_delta, wal_replay, eav_pivot, db_stats, persons_rollup, persons_page, photos_of_person, face_rollup, training_stats, training_means, stable_ids, text_cleanup)
+    for f in (ids_by_flag, point_lookup, prefix_scan, delete_cascade, metadata_upsert, metadata_merge, catalog_claim, catalog_cleanup, unprocessed_delta, unprocessed_photos, photo_lookup, metadata_cleared, wal_replay, eav_pivot, db_stats, persons_rollup, persons_page, photos_of_person, face_rollup, training_stats, training_means, stable_ids, text_cleanup)
 }
 
 SQL = {
@@ -187,6 +231,21 @@ SELECT coalesce(n.id, c_custkey) AS id, coalesce(n.name, c_mktsegment) AS name,
     "catalog_claim": "SELECT doc_id AS id, CASE WHEN doc_id IN (SELECT vec_id FROM embeddings) THEN array_to_string(list_sort(list_distinct([source, 'src1'])), ',') ELSE source END AS catalogs FROM documents",
     "catalog_cleanup": "SELECT doc_id AS id, CASE WHEN source = 'src1' AND doc_id NOT IN (SELECT vec_id FROM embeddings) THEN '' ELSE source END AS catalogs FROM documents",
     "unprocessed_delta": "SELECT doc_id AS id, -doc_id AS position FROM documents LEFT JOIN labels USING (doc_id) LEFT JOIN embeddings ON doc_id = vec_id WHERE coalesce(quality, 0) <> 1 OR vec_id IS NULL",
+    "unprocessed_photos": """
+WITH a AS (SELECT doc_id AS id, doc_id % 11 <> 0 AND doc_id % 5 <> 0 AS known FROM documents),
+f AS (SELECT DISTINCT doc_id AS id FROM labels),
+t AS (SELECT a.id, known, known AND id % 19 <> 0 AND (id % 4 = 0 OR f.id IS NOT NULL) AS faces, known AND id % 3 < 2 AS metadata, known AND id % 23 <> 0 AS species, known AND id % 13 <> 0 AND id % 17 <> 0 AS cull
+  FROM a LEFT JOIN f USING (id))
+SELECT id, -id AS position FROM t WHERE NOT (faces AND metadata AND species AND cull)""",
+    "photo_lookup": """
+SELECT doc_id AS id, source AS title, CASE WHEN doc_id % 2 = 0 THEN lang || '|k' END AS keywords, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 7)::VARCHAR END AS species_rank, doc_id % 3 = 0 AS checked,
+  CASE WHEN doc_id % 10 = 0 THEN '{"exposure":1}' END AS edit, CASE WHEN doc_id % 8 = 0 THEN 'clipped' ELSE '' END AS edit_warnings
+FROM documents WHERE doc_id % 6 <> 0 AND doc_id IN (SELECT doc_id FROM labels)""",
+    "metadata_cleared": """
+WITH k AS (SELECT doc_id AS id, doc_id IN (SELECT doc_id FROM labels) AS gone,
+  unnest(list_filter(['filename', 'species_model', 'title', CASE WHEN doc_id % 2 = 0 THEN 'keywords' END, CASE WHEN doc_id % 3 = 0 THEN 'species_checked' END, CASE WHEN doc_id % 3 = 0 THEN 'species_rank' END,
+    CASE WHEN doc_id % 5 = 0 THEN 'edit_recipe' END, CASE WHEN doc_id % 4 = 0 THEN 'edit_warnings' END], lambda x: x IS NOT NULL)) AS key FROM documents)
+SELECT id, string_agg(key, ',' ORDER BY key) AS keys FROM k WHERE NOT gone OR key = 'filename' GROUP BY id""",
     "wal_replay": """
 SELECT user_id AS id, CASE WHEN arg_max(event_type, event_id) <> 'error' THEN arg_max(value, event_id) END AS vector
 FROM events WHERE event_type = 'error' OR value > 50 GROUP BY 1""",
@@ -213,5 +272,5 @@ UNION ALL SELECT 'tag', v, count(*) FROM (SELECT unnest([event_type, 'all']) AS
 SELECT count(*) AS examples, round(avg(value), 3) AS mean, round(quantile_cont(value, 0.03), 6) AS p3, round(quantile_cont(value, 0.97), 6) AS p97, count(*) >= 10 AS enough,
   CASE WHEN count(*) = 0 THEN 'none' WHEN count(*) < 10 THEN 'few' WHEN count(*) < 50 THEN 'some' ELSE 'ready' END AS readiness FROM events""",
     "stable_ids": "SELECT c_custkey, 'meta1:' || md5(c_name || '|' || CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END || '|' || c_nationkey) AS stable_id FROM customer",
-    "text_cleanup": "SELECT doc_id, md5(replace(text, 'ß', 'ss')) AS clean_md5, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'a' ELSE source END AS photo_id, doc_id % 2 = 0 AS raw FROM documents",
+    "text_cleanup": "SELECT doc_id, md5(replace(text, 'ß', 'ss')) AS clean_md5, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'a' ELSE source END AS photo_id, doc_id % 6 IN (1, 2, 5) AS raw FROM documents",
 }

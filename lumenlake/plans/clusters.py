@@ -52,6 +52,13 @@ def face_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clustered_faces(p, cosine=COSINE)
 
 
+def face_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as faces, measured in part."""
+    n = F.col("l_orderkey") + F.col("l_linenumber")
+    why = clustering.weakness(F.when(n % 3 != 0, F.col("l_discount") * 4 + 0.7), F.when(n % 5 != 0, F.col("l_quantity") / 10000), F.when(n % 7 != 0, F.col("l_tax") * 3), F.when(n % 11 != 0, F.col("l_discount") * 6))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", why.alias("weak"))
+
+
 def person_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     old = e.filter("event_id % 3 <> 0").select(F.col("event_id").alias("face"), F.concat(F.lit("person_"), (F.col("user_id") % 12).cast("string")).alias("person"))
@@ -82,9 +89,8 @@ def keyword_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mapping = F.create_map(F.lit("the"), F.lit("The"), F.lit("der"), F.lit("die"), F.lit("le"), F.lit("la"))
-    d = table(spark, sf_dir, "documents").select("doc_id", keywords.merged(F.slice(F.split("text", " "), 1, 12), mapping).alias("k"))
-    return d.select("doc_id", F.array_join("k", "|").alias("keywords"))
+    k = keywords.merged(_words(spark, sf_dir), "doc_id", "word", "pos", {"the": "The", "der": "die", "le": "la"})
+    return k.select("doc_id", F.array_join("keywords", "|").alias("keywords"))
 
 
 def vocab_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +113,7 @@ u AS (SELECT cluster, size, list_transform(raw, lambda y: y / sqrt(list_dot_prod
 
 QUERIES = {
     f.__name__: f
-    for f in (dbscan_labels, near_pairs, centroids, cluster_spread, attach_nearest, agglomerative, face_clusters, person_match, keyword_cliques, box_suppression, keyword_dedupe, keyword_merge, vocab_rank, sibling_leaves)
+    for f in (dbscan_labels, near_pairs, centroids, cluster_spread, attach_nearest, agglomerative, face_clusters, face_gate, person_match, keyword_cliques, box_suppression, keyword_dedupe, keyword_merge, vocab_rank, sibling_leaves)
 }
 
 SQL = {
@@ -127,10 +133,14 @@ SELECT id, CASE WHEN min(distance) <= 0.72 THEN arg_min(cluster, (distance, clus
 WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS pos FROM documents),
 f AS (SELECT doc_id, min(pos) AS pos, arg_min(word, pos) AS word FROM w GROUP BY doc_id, lower(trim(word)))
 SELECT doc_id, count(*) AS n, sum(pos)::BIGINT AS positions, sum(length(word))::BIGINT AS chars FROM f GROUP BY 1""",
+    "face_gate": """
+WITH f AS (SELECT *, l_orderkey + l_linenumber AS n FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN n % 3 <> 0 AND l_discount * 4 + 0.7 < 0.80 THEN 'low detection confidence' WHEN n % 5 <> 0 AND l_quantity / 10000 < 0.0008 THEN 'too small in frame'
+  WHEN n % 7 <> 0 AND l_tax * 3 < 0.12 THEN 'too blurry' WHEN n % 11 <> 0 AND l_discount * 6 > 0.55 THEN 'mostly hidden' END AS weak FROM f""",
     "keyword_merge": """
-WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')[1:12]) AS k, unnest(range(len(string_split(text, ' ')[1:12]))) AS pos FROM documents),
+WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS k, unnest(range(len(string_split(text, ' ')))) AS pos FROM documents),
 r AS (SELECT doc_id, pos, CASE lower(k) WHEN 'the' THEN 'The' WHEN 'der' THEN 'die' WHEN 'le' THEN 'la' ELSE k END AS k FROM w),
-f AS (SELECT doc_id, min(pos) AS pos, arg_min(k, pos) AS k FROM r GROUP BY doc_id, lower(k))
+f AS (SELECT doc_id, min(pos) AS pos, arg_min(k, pos) AS k FROM r GROUP BY doc_id, lower(trim(k)))
 SELECT doc_id, string_agg(k, '|' ORDER BY pos) AS keywords FROM f GROUP BY 1""",
     "vocab_rank": """
 WITH w AS (SELECT lower(trim(unnest(string_split(text, ' ')))) AS name FROM documents), c AS (SELECT name, count(*) AS uses FROM w WHERE name <> '' GROUP BY 1)

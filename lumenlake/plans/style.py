@@ -82,7 +82,7 @@ RANKS = ["class", "genus", "name"]
 
 def taxonomy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = taxonomy.probabilities(_species(spark, sf_dir), [], "logit")
-    return taxonomy.rolled_up(p, RANKS).filter("depth < 3").select("depth", "class", "genus", F.round("p", 6).alias("p"))
+    return taxonomy.rolled_up(p, RANKS).select("depth", "class", "genus", "name", F.round("p", 6).alias("p"))
 
 
 def taxonomy_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +156,7 @@ SELECT l_orderkey, l_linenumber, 3::INTEGER AS n, round(greatest(-100, least(100
     "compensation": f"""
 WITH m AS (SELECT p_partkey, greatest(-1.5, least(1.5, -5 * (p_size / 50 - 0.45))) AS a, greatest(-15, least(15, -20 * (coalesce(CASE WHEN p_size % 3 <> 0 THEN p_retailprice / 2000 END, 0.5) - 0.5))) AS b FROM part)
 SELECT p_partkey, CASE WHEN abs(a) > 0.05 THEN {_away("a", 2)} ELSE 0 END::DOUBLE AS exposure, CASE WHEN abs(b) > 1 THEN {_away("b", 1)} ELSE 0 END::DOUBLE AS contrast FROM m""",
-    "taxonomy_rollup": f"WITH {_P} SELECT 1::INTEGER AS depth, class, NULL AS genus, round(sum(p), 6) AS p FROM p GROUP BY class UNION ALL SELECT 2, class, genus, round(sum(p), 6) FROM p GROUP BY class, genus",
+    "taxonomy_rollup": f"WITH {_P} SELECT 1::INTEGER AS depth, class, NULL AS genus, NULL AS name, round(sum(p), 6) AS p FROM p GROUP BY class UNION ALL SELECT 2, class, genus, NULL, round(sum(p), 6) FROM p GROUP BY class, genus UNION ALL SELECT 3, class, genus, name, round(sum(p), 6) FROM p GROUP BY class, genus, name",
     "taxonomy_answer": f"""WITH {_P}, a AS (SELECT 1::INTEGER AS depth, class, NULL AS genus, NULL AS name, sum(p) AS p FROM p GROUP BY class UNION ALL SELECT 2, class, genus, NULL, sum(p) FROM p GROUP BY class, genus UNION ALL SELECT 3, class, genus, name, sum(p) FROM p GROUP BY class, genus, name),
 b AS (SELECT *, row_number() OVER (PARTITION BY depth ORDER BY p DESC) AS k FROM a) SELECT depth, class, genus, name, round(p, 6) AS p FROM b WHERE k = 1 AND p >= 0.15 ORDER BY depth DESC LIMIT 1""",
     "taxa_pruning": f"""WITH {_SPECIES}, t AS (SELECT name AS id, class, genus, CASE WHEN logit > 5 THEN name END AS name FROM s), k AS (SELECT * FROM t WHERE class IN ('EUROPE', 'ASIA') AND name IS NOT NULL)

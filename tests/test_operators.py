@@ -201,9 +201,35 @@ def test_prefixes_are_literal(spark):
 
 
 def test_merged_keywords(spark):
-    m = F.create_map(F.lit("cat"), F.lit("Cats"))
-    got = spark.createDataFrame([(["Cat", "dog", "cats", "CAT"],)], "k array<string>").select(keywords.merged(F.col("k"), m)).first()[0]
-    assert got == ["Cats", "dog"]
+    rows = spark.createDataFrame([(1, i, w) for i, w in enumerate(["Cat", "dog", "cats", "CAT"])] + [(2, i, f"w{i % 700}") for i in range(5000)], "id int, pos int, word string")
+    got = {r.id: r.keywords for r in keywords.merged(rows, "id", "word", "pos", {"cat": "Cats"}).collect()}
+    assert got == {1: ["Cats", "dog"], 2: [f"w{i}" for i in range(700)]}
+
+
+def test_search_without_fields(spark):
+    rows = spark.createDataFrame([(1, "A cat", None), (2, None, "cats"), (3, "dog", "cow")], "id int, title string, alt_text string")
+    assert [r.id for r in search.matching(rows, "CAT").orderBy("id").collect()] == [1, 2]
+    assert [r.id for r in search.matching(rows, "cat", ["title", "no such"]).collect()] == [1]
+
+
+def test_unprocessed_photos(spark):
+    asked = spark.createDataFrame([(i, -i) for i in range(4)], "id int, position int")
+    keys = ("has_embedding", "title", "caption", "alt_text", "keywords", "cull_phash", "cull_faces_present", "faces_checked", "face_model", "species_checked", "species_model")
+    row = lambda i, **own: (i, ["a"], *(own.get(k) for k in keys))
+    photos = spark.createDataFrame([row(0, has_embedding="true", cull_phash="x"), row(1, has_embedding="", cull_phash="x"), row(2, has_embedding="true", species_checked="true", species_model="old", cull_phash="x", cull_faces_present="false")], "id int, catalogs array<string>, " + ", ".join(f"{k} string" for k in keys))
+    faces, cloud = spark.createDataFrame([("2_0",)], "face_id string"), spark.createDataFrame([(1,)], "id int")
+    left = lambda tasks, **more: [r.id for r in catalog.unprocessed_photos(asked, photos, faces, cloud, tasks, **({"regenerate": False} | more)).collect()]
+    assert left(["embeddings"]) == [3, 1] and left(["embeddings"], regenerate=True) == [3, 2, 1, 0] and left(["nothing"]) == []
+    assert left(["embeddings"], owner="b") == [3, 2, 1, 0]
+    assert left(["vertexai"]) == [3, 2, 0] and left(["cull"]) == [3, 1, 0]
+    assert left(["species"]) == [3, 1, 0] and left(["species"], species_model="new") == [3, 2, 1, 0]
+    assert left(["faces"]) == [3, 2, 1, 0]
+
+
+def test_large_blocks_are_an_error(spark, monkeypatch):
+    with pytest.raises(Exception, match="more than"):
+        rows = [(i, 0, [1.0, float(i)]) for i in range(6001)]
+        clustering.agglomerated(spark.createDataFrame(rows, "id int, label int, vector array<double>"), 0.1, block="label").count()
 
 
 def test_fitted_moves(spark):
