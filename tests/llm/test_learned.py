@@ -330,6 +330,72 @@ def test_copies_under_repeated_and_missing_ids(spark):
     assert left == [(0, "c"), (1, "a"), (1, "b")]
 
 
+def test_pipeline_stages_of_awkward_tables(spark):
+    rows = [*AWKWARD, (20, "one id"), (20, "another text of that id"), (21, None)]
+    for docs, left in ((made(spark, []), []), (made(spark, rows).withColumn("gram", F.lit(1)).withColumn("node", F.lit(2)), [1, 3, 4, 5, 6, 7, 8, 20, 20])):
+        now = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = corpus_pipeline.materialized(stage(spark, now, SF), name)
+            assert now.columns == docs.columns
+        assert sorted(r.doc_id for r in now.filter("doc_id IS NOT NULL").select("doc_id").collect()) == left
+        assert corpus_pipeline.STAGES[-1][1](spark, now, SF).filter("exact").count() == now.count()
+
+
+def brute_toxicity(model, text):
+    """A text's score, word by word from the model's table."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    found = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low))
+    adds = []
+    for w in found:
+        marked = f"<{w}>"
+        grams = [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)] + [marked]
+        adds.append(sum(float(model.table[zlib.crc32(g.encode()) % len(model.table)]) for g in grams) / len(grams))
+    return 1 / (1 + math.exp(-(model.bias + (sum(adds) / len(adds) if adds else 0.0))))
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fitted(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
+    assert got.keys() == texts.keys() and all(abs(s - brute_toxicity(model, texts[i])) < 1e-5 for i, s in got.items())
+
+
+def test_toxicity_of_repeated_and_text_ids(spark):
+    rows = [(f"d{i % 40}", f"{'bad' if i % 2 else 'good'} word{i}") for i in range(4000)]
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(40)], "doc_id string, toxic int")
+    got = toxicity.toxicity(spark.createDataFrame(rows, "doc_id string, text string"), labels).collect()
+    assert len(got) == len(rows) and {r.held_out for r in got} == {True, False}
+
+
+def test_warc_targets_and_files(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/\r\nWARC-Type: response", "<p>x</p>"), (2, "http://b/ c", "y\r\n\r\nz"), (3, None, "")], "page_id long, url string, html string")
+    responses = warc.responses(pages)
+    made_ = warc.serialized(warc.derivatives(responses)).collect()
+    whole = b"".join(bytes(r.warc) for r in made_)
+    assert whole.count(b"\r\nWARC-Type: response") == 0 and len(warc.parsed(whole)) == 6
+    (tmp_path / "some.warc").write_bytes(whole)
+    read = {r.record_id: r for r in warc.records(spark, str(tmp_path / "some.warc")).collect()}
+    assert len(read) == 6 and all(r.whole for r in read.values())
+    for r in made_:
+        assert bytes(read[r.record_id].block) == r.block.encode() and read[r.record_id].record_type == r.record_type and read[r.record_id].target_uri == r.target_uri
+    assert {r.target_uri for r in read.values()} == {"http://a/%0D%0AWARC-Type:%20response", "http://b/%20c", None}
+
+
+def test_warc_of_table(spark):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in queries.op10_warc_derivatives(spark, SF).collect():
+        p = pages[r.page_id]
+        body = (p.html or "").encode()
+        sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+        assert (r.source_payload_digest, r.source_block_digest) == (sha1(body), sha1(head + body))
+        assert (r.content_length, r.block_digest, r.target_uri) == (len(r.block.encode()), sha1(r.block.encode()), p.url)
+        links = re.findall(r"(?m)^outlink: (.*?)\r$", r.block)
+        assert r.record_type != "metadata" or len(links) == len(re.findall(r"<a href=", p.html))
+        assert r.record_type != "conversion" or ("<script" not in r.block and "track(" not in r.block)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bad = spark.createDataFrame([(10**6, None, None, None, None)], docs.schema)
