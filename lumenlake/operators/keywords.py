@@ -35,3 +35,8 @@ def siblings(tree: DataFrame) -> DataFrame:
     inner = tree.select(F.col("parent").alias("name")).distinct()
     leaves = tree.join(inner, "name", "left_anti")
     return leaves.groupBy("parent").agg(F.array_sort(F.collect_set("name")).alias("leaves")).filter(F.size("leaves") >= 2)
+
+
+def condensed(messages: Column, most: int = 5) -> Column:
+    """The first few different messages of an array, in their order, joined by bars."""
+    return F.array_join(F.slice(F.array_distinct(messages), 1, most), " | ")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions.scalar import clamp, ramp, round_away, unit
@@ -70,7 +70,8 @@ def fitted(moves: Column, most: Column) -> Column:
     return F.transform(moves, lambda x: F.when(x > 0, x * scale).otherwise(x))
 
 
-# Ranges of settings.
+# Ranges of settings. Temperatures are Kelvin for raw files, and relative for others, where a value beyond
+# KELVIN can only be meant as Kelvin.
 RANGES = {
     "exposure": (-5.0, 5.0),
     "contrast": (-100.0, 100.0),
@@ -78,23 +79,149 @@ RANGES = {
     "shadows": (-100.0, 100.0),
     "whites": (-100.0, 100.0),
     "blacks": (-100.0, 100.0),
+    "temperature": (2000.0, 50000.0),
+    "tint": (-150.0, 150.0),
     "texture": (-100.0, 100.0),
     "clarity": (-100.0, 100.0),
     "dehaze": (-100.0, 100.0),
     "vibrance": (-100.0, 100.0),
     "saturation": (-100.0, 100.0),
-    "tint": (-150.0, 150.0),
     "sharpening": (0.0, 150.0),
+    "sharpen_radius": (0.5, 3.0),
+    "sharpen_detail": (0.0, 100.0),
+    "sharpen_masking": (0.0, 100.0),
     "noise_reduction": (0.0, 100.0),
+    "noise_reduction_detail": (0.0, 100.0),
+    "noise_reduction_contrast": (0.0, 100.0),
+    "color_noise_reduction": (0.0, 100.0),
+    "color_noise_reduction_detail": (0.0, 100.0),
+    "color_noise_reduction_smoothness": (0.0, 100.0),
+    "vignette": (-100.0, 100.0),
+    "vignette_midpoint": (0.0, 100.0),
+    "vignette_roundness": (-100.0, 100.0),
+    "vignette_feather": (0.0, 100.0),
+    "vignette_highlights": (0.0, 100.0),
+    "grain": (0.0, 100.0),
+    "grain_size": (0.0, 100.0),
+    "grain_roughness": (0.0, 100.0),
 }
+RELATIVE, KELVIN = (-100.0, 100.0), 500.0
 
 
-def in_range(settings: Column) -> Column:
-    """Known settings, each held to its range; unknown ones are dropped."""
+def in_range(settings: Column, raw: Column | None = None) -> Column:
+    """Known settings, each held to its range, to four digits; unknown ones are dropped.
+
+    `raw` says whether the file is raw; where it is null or not given, it is taken to be. For other files temperatures
+    are held to the relative range, and dropped if they look like Kelvin."""
+    relative = F.lit(False) if raw is None else F.coalesce(~raw, F.lit(False))
+    warmth = lambda k: (k == "temperature") & relative
     low = F.create_map(*(F.lit(x) for k, (a, _) in RANGES.items() for x in (k, a)))
     high = F.create_map(*(F.lit(x) for k, (_, b) in RANGES.items() for x in (k, b)))
-    known = F.map_filter(settings, lambda k, v: k.isin(*RANGES) & v.isNotNull())
-    return F.transform_values(known, lambda k, v: F.greatest(F.element_at(low, k), F.least(F.element_at(high, k), v)))
+    known = F.map_filter(settings, lambda k, v: k.isin(*RANGES) & v.isNotNull() & ~(warmth(k) & (F.abs(v) > KELVIN)))
+    least = lambda k: F.when(warmth(k), RELATIVE[0]).otherwise(F.element_at(low, k))
+    most = lambda k: F.when(warmth(k), RELATIVE[1]).otherwise(F.element_at(high, k))
+    return F.transform_values(known, lambda k, v: round_away(F.greatest(least(k), F.least(most(k), v)), 4))
+
+
+def cropped(crop: Column) -> tuple[Column, Column]:
+    """(edges and angle as a map, reasons) of a map of numbers.
+
+    Edges are left, right, top and bottom, 0 to 1; where none is given, they come from x, y, width and height if all
+    four are. A pair of edges that isn't in order, or of which one is missing, is dropped. The angle may be called
+    rotation."""
+
+    def at(key: str, low: float = 0.0, high: float = 1.0) -> Column:
+        return round_away(clamp(F.try_element_at(crop, F.lit(key)).cast("double"), low, high), 4)
+
+    edges = {k: at(k) for k in ("left", "right", "top", "bottom")}
+    none = F.coalesce(*edges.values()).isNull()
+    x, y, width, height = (at(k) for k in ("x", "y", "width", "height"))
+    boxed = none & x.isNotNull() & y.isNotNull() & width.isNotNull() & height.isNotNull()
+    one = F.lit(1.0)
+    whole = {"left": x, "right": F.least(one, round_away(x + width, 4)), "top": y, "bottom": F.least(one, round_away(y + height, 4))}
+    edge = {k: F.when(boxed, whole[k]).otherwise(edges[k]) for k in edges}
+    parts, reasons = [], []
+    for a, b in (("left", "right"), ("top", "bottom")):
+        fit = edge[a] < edge[b]  # null if one is missing
+        reasons.append(F.when(~fit, f"{a}_not_before_{b}"))
+        parts += [F.lit(a), F.when(fit, edge[a]), F.lit(b), F.when(fit, edge[b])]
+    angle = F.coalesce(at("angle", -45.0, 45.0), at("rotation", -45.0, 45.0))
+    return F.map_filter(F.create_map(*parts, F.lit("angle"), angle), lambda k, v: v.isNotNull()), F.array_compact(F.array(*reasons))
+
+
+def restricted_temperature(winners: DataFrame, by: list[str]) -> DataFrame:
+    """(by, temperature, matching, winners): the blended temperature of winners(by, score, settings, raw, query_raw).
+
+    Kelvin and relative values can't be averaged, so only winners whose raw flag is the query's count; an unknown flag
+    on either side fits all. A winner without a temperature counts as zero. Null where no winner has one, or none fits."""
+    fits = F.coalesce(F.col("raw") == F.col("query_raw"), F.lit(True))
+    value = F.try_element_at("settings", F.lit("temperature"))
+    weight = F.sum(F.when(fits, F.col("score")))
+    rolled = winners.groupBy(*by).agg(
+        F.max(value.isNotNull()).alias("has"), weight.alias("weight"), F.coalesce(F.sum(F.when(fits, F.col("score") * value)), F.lit(0.0)).alias("sum"),
+        F.count_if(fits).alias("matching"), F.count("*").alias("winners"),
+    )
+    blend = F.when(F.col("has") & (F.col("weight") > 0), round_away(F.col("sum") / F.nullif(F.col("weight"), F.lit(0.0)), 1))
+    return rolled.select(*by, blend.alias("temperature"), "matching", "winners")
+
+
+# Confidence below which a result is weak or only moderate, and the squared distance of recent examples.
+WEAK, MODERATE, RECENT = 0.45, 0.70, 0.5
+
+
+def recent(training: DataFrame, k: int = POOL, captured: str = "captured_at", id_: str = "id") -> DataFrame:
+    """The k latest examples, for a photo without a vector: all at one distance, undated ones last."""
+    return training.orderBy(F.desc(F.coalesce(captured, F.lit(""))), id_).limit(k).withColumn("distance", F.lit(RECENT))
+
+
+def outcome(scored: DataFrame, requests: DataFrame, training: int) -> DataFrame:
+    """(request, engine, confidence, matched, names, warning) for each of requests(request).
+
+    Of scored(request, score, id, name), some dozens for a request, the best WINNERS are matched, of equal ones the
+    smallest id. Fewer than ENOUGH training rows, or none found, give no result; confidence is the best score."""
+    best = Window.partitionBy("request").orderBy(F.desc("score"), "id")
+    won = scored.select("*", F.row_number().over(best).alias("at")).filter(F.col("at") <= WINNERS)
+    rolled = won.groupBy("request").agg(round_away(F.max("score"), 3).alias("best"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("at", F.coalesce("name", F.col("id").cast("string")).alias("name")))).alias("listed"))
+    enough = F.lit(training >= ENOUGH)
+    some = enough & F.col("n").isNotNull()
+    warning = (
+        F.when(~enough, "too_few_examples").when(~some, "nothing_found").when(F.col("best") < WEAK, "low_confidence").when(F.col("best") < MODERATE, "moderate_confidence")
+    )
+    return requests.select("request").distinct().join(rolled, "request", "left").select(
+        "request",
+        F.when(some, "style").otherwise("none").alias("engine"),
+        F.when(some, F.col("best")).otherwise(0.0).alias("confidence"),
+        F.when(some, F.col("n")).otherwise(0).alias("matched"),
+        F.when(some, F.col("listed.name")).otherwise(F.array().cast("array<string>")).alias("names"),
+        warning.alias("warning"),
+    )
+
+
+# What each control of a user allows to be changed.
+CONTROLS = {
+    "adjust_white_balance": ("temperature", "tint", "white_balance"),
+    "adjust_basic_tone": ("exposure", "contrast", "highlights", "shadows", "whites", "blacks"),
+    "adjust_presence": ("texture", "clarity", "dehaze"),
+    "adjust_color_mix": ("vibrance", "saturation", "hsl"),
+    "do_color_grading": ("color_grading",),
+    "use_tone_curve": ("tone_curve",),
+    "adjust_detail": (
+        "sharpening", "sharpen_radius", "sharpen_detail", "sharpen_masking", "noise_reduction", "noise_reduction_detail", "noise_reduction_contrast",
+        "color_noise_reduction", "color_noise_reduction_detail", "color_noise_reduction_smoothness",
+    ),
+    "adjust_effects": (
+        "vignette", "vignette_midpoint", "vignette_roundness", "vignette_feather", "vignette_highlights", "grain", "grain_size", "grain_roughness",
+    ),
+    "adjust_lens_corrections": ("lens_corrections",),
+    "allow_auto_crop": ("crop",),
+}
+
+
+def controlled(settings: Column, controls: Column) -> Column:
+    """Settings less those whose control is false in a map of booleans; a control that isn't there is on."""
+    is_off = lambda name: ~F.coalesce(F.try_element_at(controls, F.lit(name)), F.lit(True))
+    off = F.flatten(F.array(*(F.when(is_off(name), F.lit(list(keys))).otherwise(F.array().cast("array<string>")) for name, keys in CONTROLS.items())))
+    return F.map_filter(settings, lambda k, v: ~F.array_contains(off, k))
 
 
 def allowed(settings: Column, off: list[str]) -> Column:

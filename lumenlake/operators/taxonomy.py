@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,12 @@ def pruned(taxa: DataFrame, classes: list[str]) -> DataFrame:
     first = Window.partitionBy("genus").orderBy("id")
     one = others.select("*", F.row_number().over(first).alias("__n")).filter("__n = 1").drop("__n")
     return kept.unionByName(one)
+
+
+#: The score below which a photo shows no living thing. Fixed value.
+ORGANISM = 0.35
+
+
+def worth_asking(score: Column, gate: bool = True, least: float = ORGANISM) -> Column:
+    """Whether species are looked for: without a gate or a score they are. A photo held back still counts as checked."""
+    return F.lit(not gate) | F.coalesce(score >= least, F.lit(True))
