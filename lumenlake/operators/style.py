@@ -130,23 +130,34 @@ def cropped(crop: Column) -> tuple[Column, Column]:
     four are. A pair of edges that isn't in order, or of which one is missing, is dropped. The angle may be called
     rotation."""
 
-    def at(key: str, low: float = 0.0, high: float = 1.0) -> Column:
-        return round_away(clamp(F.try_element_at(crop, F.lit(key)).cast("double"), low, high), 4)
-
-    edges = {k: at(k) for k in ("left", "right", "top", "bottom")}
-    none = F.coalesce(*edges.values()).isNull()
-    x, y, width, height = (at(k) for k in ("x", "y", "width", "height"))
-    boxed = none & x.isNotNull() & y.isNotNull() & width.isNotNull() & height.isNotNull()
-    one = F.lit(1.0)
-    whole = {"left": x, "right": F.least(one, round_away(x + width, 4)), "top": y, "bottom": F.least(one, round_away(y + height, 4))}
-    edge = {k: F.when(boxed, whole[k]).otherwise(edges[k]) for k in edges}
-    parts, reasons = [], []
-    for a, b in (("left", "right"), ("top", "bottom")):
-        fit = edge[a] < edge[b]  # null if one is missing
-        reasons.append(F.when(~fit, f"{a}_not_before_{b}"))
-        parts += [F.lit(a), F.when(fit, edge[a]), F.lit(b), F.when(fit, edge[b])]
-    angle = F.coalesce(at("angle", -45.0, 45.0), at("rotation", -45.0, 45.0))
-    return F.map_filter(F.create_map(*parts, F.lit("angle"), angle), lambda k, v: v.isNotNull()), F.array_compact(F.array(*reasons))
+    def once(value: Column, use) -> Column:
+        """`use` of a value that is computed once, however often it is named."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def at(c: Column, key: str, low: float = 0.0, high: float = 1.0) -> Column:
+        return once(F.try_element_at(c, F.lit(key)).cast("double"), lambda x: round_away(clamp(x, low, high), 4))
+
+    def read(c: Column) -> Column:
+        angle = F.coalesce(at(c, "angle", -45.0, 45.0), at(c, "rotation", -45.0, 45.0))
+        return F.struct(*(at(c, k).alias(k) for k in ("left", "right", "top", "bottom", "x", "y", "width", "height")), angle.alias("angle"))
+
+    def edged(r: Column) -> Column:
+        boxed = F.coalesce(r["left"], r["right"], r["top"], r["bottom"]).isNull() & (r["x"] + r["y"] + r["width"] + r["height"]).isNotNull()
+        far = lambda a, b: F.least(F.lit(1.0), round_away(r[a] + r[b], 4))
+        whole = {"left": r["x"], "right": far("x", "width"), "top": r["y"], "bottom": far("y", "height")}
+        return F.struct(*(F.when(boxed, w).otherwise(r[k]).alias(k) for k, w in whole.items()), r["angle"].alias("angle"))
+
+    def fitted(e: Column) -> Column:
+        parts, reasons = [], []
+        for a, b in (("left", "right"), ("top", "bottom")):
+            fit = e[a] < e[b]  # null if one is missing
+            reasons.append(F.when(~fit, f"{a}_not_before_{b}"))
+            parts += [F.lit(a), F.when(fit, e[a]), F.lit(b), F.when(fit, e[b])]
+        edges = F.map_filter(F.create_map(*parts, F.lit("angle"), e["angle"]), lambda k, v: v.isNotNull())
+        return F.struct(edges.alias("edges"), F.array_compact(F.array(*reasons)).alias("reasons"))
+
+    both = once(once(once(crop, read), edged), fitted)
+    return both["edges"], both["reasons"]
 
 
 def restricted_temperature(winners: DataFrame, by: list[str]) -> DataFrame:
