@@ -82,10 +82,15 @@ def trained(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS
     if len(set(labels)) < 2 or not any(len(r[0]) for r in rows):
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     rng = np.random.default_rng(seed)
-    used, flat = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+    flat = np.concatenate([r[0] for r in rows])
+    used = np.flatnonzero(np.bincount(flat, minlength=BUCKETS))
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    flat = place[flat]
     sizes = np.array([len(r[0]) for r in rows])
     ends = np.cumsum(sizes)
     weights = np.concatenate([r[1] for r in rows])
+    del rows  # the driver needn't hold the sample twice
     vectors = rng.normal(0, 0.1, (len(used), DIMENSIONS)).astype(np.float32)
     softmax = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -94,7 +99,7 @@ def trained(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS
     balance = np.where(labels == 1, 0.5 / (labels == 1).mean(), 0.5 / (labels == 0).mean()).astype(np.float32)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(labels))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
             where = np.concatenate([np.arange(ends[i] - sizes[i], ends[i]) for i in own])
@@ -145,9 +150,9 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held, 0]), pa.array(counts[held, 1])], ["bucket", "clean", "toxic"])
 
     summed = texts.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    found = summed.toPandas()  # BUCKETS rows at most
+    found = summed.toArrow()  # BUCKETS rows at most; as columns, since as rows they take ten times the memory
     counts = np.zeros((BUCKETS, 2))
-    counts[found["bucket"]] = found[["clean", "toxic"]]
+    counts[found["bucket"].to_numpy()] = np.stack([found["clean"].to_numpy(), found["toxic"].to_numpy()], axis=1)
     sizes = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     kept = telling(counts, np.array([sizes.get(0, 0), sizes.get(1, 0)]))
 
@@ -158,9 +163,16 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, batch.column("toxic").cast(pa.int32())], ["doc_id", "buckets", "weights", "toxic"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = texts.mapInArrow(extract, f"doc_id {kind}, buckets binary, weights binary, toxic int").collect()  # 2 * sample at most
-    rows = sorted((str(r.doc_id), bytes(r.buckets), bytes(r.weights), r.toxic) for r in rows)
-    return trained([(np.frombuffer(b, np.int32), np.frombuffer(w, np.float32), label) for _, b, w, label in rows])
+    extracted = texts.mapInArrow(extract, f"doc_id {kind}, buckets binary, weights binary, toxic int")
+
+    def rows() -> list[tuple[np.ndarray, np.ndarray, int]]:
+        sent = extracted.toArrow()  # 2 * sample rows at most
+        order = sorted(range(sent.num_rows), key=list(map(str, sent["doc_id"].to_pylist())).__getitem__)
+        own, weights = ([np.frombuffer(x.as_buffer(), t) for x in sent[c]] for c, t in (("buckets", np.int32), ("weights", np.float32)))
+        labels = sent["toxic"].to_pylist()
+        return [(own[i], weights[i], labels[i]) for i in order]
+
+    return trained(rows())
 
 
 class _WordScores(dict):
