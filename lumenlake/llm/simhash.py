@@ -229,8 +229,8 @@ def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
 
     some = docs.filter(F.pmod("text_hash", F.lit(4)) == 0).select(F.col("text").cast("binary").alias("text"))
     counts = some.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "gram").limit(ORDERED).select("gram").toPandas()["gram"]
-    return top.to_numpy(np.int64)[::-1]
+    top = counts.orderBy(F.desc("n"), "gram").limit(ORDERED).select("gram").toArrow()["gram"]
+    return top.to_numpy()[::-1]
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
