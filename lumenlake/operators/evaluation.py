@@ -41,3 +41,13 @@ def winners(rows: DataFrame, group: str, predicted_rank: str, label_rank: str, p
     return hit.join(r, F.lit(True)).select(
         "groups", share(F.col("hits"), F.col("groups")).alias("top1"), share(F.col("both"), F.col("rejects")).alias("reject_precision"), share(F.col("both"), F.col("labelled_rejects")).alias("reject_recall")
     )
+
+
+def label_ranks(rows: DataFrame, group: str, pick: str, rating: str, *position: str) -> DataFrame:
+    """`rows` with rank and reject: within a group picked frames (1) come first, then higher ratings, ties as they stand.
+
+    Missing marks count as none. A group in which nothing is marked has no ranks and no rejects; a pick of -1 rejects."""
+    p, stars = F.coalesce(pick, F.lit(0)), F.coalesce(rating, F.lit(0))
+    marked = F.max((p != 0) | (stars > 0)).over(Window.partitionBy(group))
+    at = F.row_number().over(Window.partitionBy(group).orderBy((p == 1).desc(), stars.desc(), *position))
+    return rows.withColumns({"rank": F.when(marked, at), "reject": marked & (p == -1)})

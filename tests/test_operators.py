@@ -244,3 +244,13 @@ def test_promotion(spark):
     assert [r.id for r in bad.collect()] == ["b"] and sorted(got) == ["a", "c"]
     assert (got["a"].capture_time, got["a"].faces_checked, got["a"].catalogs) == (5.5, True, ["x"]) and got["c"].catalogs == []
     assert got["c"].has_embedding is True
+
+
+def test_label_ranks(spark):
+    from lumenlake.operators.evaluation import label_ranks
+
+    rows = [("a", 1, 0, 5), ("a", 2, 1, 0), ("a", 3, -1, 5), ("a", 4, None, None), ("b", 1, 0, 0), ("b", 2, None, 0), ("c", 1, -1, 0)]
+    got = label_ranks(spark.createDataFrame(rows, "g string, at int, pick int, stars int"), "g", "pick", "stars", "at")
+    assert {(r.g, r.at): (r["rank"], r.reject) for r in got.collect()} == {
+        ("a", 2): (1, False), ("a", 1): (2, False), ("a", 3): (3, True), ("a", 4): (4, False), ("b", 1): (None, False), ("b", 2): (None, False), ("c", 1): (1, True),
+    }
