@@ -40,3 +40,15 @@ def siblings(tree: DataFrame) -> DataFrame:
 def condensed(messages: Column, most: int = 5) -> Column:
     """The first few different messages of an array, in their order, joined by bars."""
     return F.array_join(F.slice(F.array_distinct(messages), 1, most), " | ")
+
+
+def condensed(rows: DataFrame, by: str, message: str, position: str, shown: int = 5) -> DataFrame:
+    """(by, messages): each list's different messages as they first come, a line each; those beyond `shown` are counted.
+
+    Null messages are none; repeats meet in partial aggregates before the shuffle, and no list is collected beyond `shown`."""
+    once = rows.filter(F.col(message).isNotNull()).groupBy(by, message).agg(F.min(position).alias("at"))
+    numbered = once.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy("at", message)))
+    lines = F.array_sort(F.collect_list(F.when(F.col("n") <= shown, F.struct("n", message))))
+    listed = numbered.groupBy(by).agg(F.transform(lines, lambda x: x[message]).alias("lines"), F.count("*").alias("n"))
+    more = F.when(F.col("n") > shown, F.concat(F.lit("...and "), (F.col("n") - shown).cast("string"), F.lit(" more")))
+    return listed.select(by, F.concat_ws("\n", "lines", more).alias("messages"))

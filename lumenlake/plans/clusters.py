@@ -93,6 +93,12 @@ def keyword_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select("doc_id", F.array_join("keywords", "|").alias("keywords"))
 
 
+def message_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages of a user's run."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.concat_ws(" ", "event_type", F.floor(F.col("value") / 20).cast("string")).alias("message"))
+    return keywords.condensed(e, "user_id", "message", "event_id")
+
+
 def vocab_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     uses = _words(spark, sf_dir).select(F.col("word").alias("name"), F.lit(1).alias("uses"))
     return keywords.vocabulary(uses, ["license"], 50)
@@ -113,7 +119,7 @@ u AS (SELECT cluster, size, list_transform(raw, lambda y: y / sqrt(list_dot_prod
 
 QUERIES = {
     f.__name__: f
-    for f in (dbscan_labels, near_pairs, centroids, cluster_spread, attach_nearest, agglomerative, face_clusters, face_gate, person_match, keyword_cliques, box_suppression, keyword_dedupe, keyword_merge, vocab_rank, sibling_leaves)
+    for f in (dbscan_labels, near_pairs, centroids, cluster_spread, attach_nearest, agglomerative, face_clusters, face_gate, person_match, keyword_cliques, box_suppression, keyword_dedupe, keyword_merge, message_summary, vocab_rank, sibling_leaves)
 }
 
 SQL = {
@@ -142,6 +148,10 @@ WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS k, unnest(range(len
 r AS (SELECT doc_id, pos, CASE lower(k) WHEN 'the' THEN 'The' WHEN 'der' THEN 'die' WHEN 'le' THEN 'la' ELSE k END AS k FROM w),
 f AS (SELECT doc_id, min(pos) AS pos, arg_min(k, pos) AS k FROM r GROUP BY doc_id, lower(trim(k)))
 SELECT doc_id, string_agg(k, '|' ORDER BY pos) AS keywords FROM f GROUP BY 1""",
+    "message_summary": """
+WITH m AS (SELECT user_id, event_id, concat_ws(' ', event_type, floor(value / 20)::BIGINT) AS message FROM events),
+f AS (SELECT user_id, message, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id), message) AS n FROM m GROUP BY user_id, message)
+SELECT user_id, string_agg(message, chr(10) ORDER BY n) FILTER (n <= 5) || CASE WHEN count(*) > 5 THEN chr(10) || '...and ' || (count(*) - 5) || ' more' ELSE '' END AS messages FROM f GROUP BY 1""",
     "vocab_rank": """
 WITH w AS (SELECT lower(trim(unnest(string_split(text, ' ')))) AS name FROM documents), c AS (SELECT name, count(*) AS uses FROM w WHERE name <> '' GROUP BY 1)
 SELECT * FROM c WHERE name = 'license' UNION ALL SELECT * FROM (SELECT * FROM c WHERE name <> 'license' ORDER BY uses DESC, name LIMIT 49)""",

@@ -254,3 +254,11 @@ def test_label_ranks(spark):
     assert {(r.g, r.at): (r["rank"], r.reject) for r in got.collect()} == {
         ("a", 2): (1, False), ("a", 1): (2, False), ("a", 3): (3, True), ("a", 4): (4, False), ("b", 1): (None, False), ("b", 2): (None, False), ("c", 1): (1, True),
     }
+
+
+def test_condensed_messages(spark):
+    from lumenlake.operators.keywords import condensed
+
+    rows = [("x", i, m) for i, m in enumerate(["b", "a", "b", "c", "d", "e", "f", "g", None])] + [("y", 0, "a"), ("y", 1, "a"), ("z", 0, None)]
+    got = condensed(spark.createDataFrame(rows, "run string, at int, m string"), "run", "m", "at")
+    assert {r.run: r.messages for r in got.collect()} == {"x": "b\na\nc\nd\ne\n...and 2 more", "y": "a"}
