@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import chat, decontaminate, language_model, license, pieces, simhash, sketch, toxicity, urls, warc
+from lumenlake.llm import audit, chat, decontaminate, exact, language_model, license, pieces, resample, simhash, sketch, toxicity, urls, warc
 from lumenlake.llm.common import table
 
 
@@ -88,6 +88,18 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
@@ -99,4 +111,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_language_model": op9_language_model,
     "op10_warc_derivatives": op10_warc_derivatives,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_resample": op13_resample,
 }
