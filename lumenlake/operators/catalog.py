@@ -169,8 +169,10 @@ def person_key(person: Column) -> Column:
 
 
 def persons(faces: DataFrame, names: DataFrame) -> DataFrame:
-    """One row per person of faces(face_id, photo_id, person, manual, quality, thumbnail): counts, name, best thumbnail."""
-    shown = F.when(F.coalesce(F.trim("thumbnail"), F.lit("")) != "", F.struct(F.col("quality").alias("q"), (-F.col("face_id")).alias("i"), "thumbnail"))
+    """One row per person of faces(face_id, photo_id, person, manual, quality, thumbnail): counts, name, best thumbnail.
+
+    The best is that of the highest quality, of equal ones the first by face_id, whatever its type."""
+    shown = F.when(F.coalesce(F.trim("thumbnail"), F.lit("")) != "", F.struct(F.col("quality").isNull().alias("unknown"), (-F.col("quality")).alias("q"), "face_id"))
     rolled = (
         faces.withColumn("person", person_key(F.col("person")))
         .groupBy("person")
@@ -178,10 +180,10 @@ def persons(faces: DataFrame, names: DataFrame) -> DataFrame:
             F.count("*").alias("faces"),
             F.count_if(F.coalesce("manual", F.lit(False))).alias("manual"),
             F.count_distinct("photo_id").alias("photos"),
-            F.max(shown).alias("best"),
+            F.min_by("thumbnail", shown).alias("thumbnail"),
         )
     )
-    return rolled.join(names, "person", "left").select("person", "name", "faces", "manual", "photos", F.col("best.thumbnail").alias("thumbnail"))
+    return rolled.join(names, "person", "left").select("person", "name", "faces", "manual", "photos", "thumbnail")
 
 
 def rolled_faces(faces: DataFrame) -> DataFrame:

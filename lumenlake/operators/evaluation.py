@@ -46,7 +46,8 @@ def winners(rows: DataFrame, group: str, predicted_rank: str, label_rank: str, p
 def label_ranks(rows: DataFrame, group: str, pick: str, rating: str, *position: str) -> DataFrame:
     """`rows` with rank and reject: within a group picked frames (1) come first, then higher ratings, ties as they stand.
 
-    Missing marks count as none. A group in which nothing is marked has no ranks and no rejects; a pick of -1 rejects."""
+    Missing marks count as none. A group in which nothing is marked has no ranks and no rejects; a pick of -1 rejects.
+    Rows that tie in `position` too are ranked in no set order, so it must tell a group's rows apart."""
     p, stars = F.coalesce(pick, F.lit(0)), F.coalesce(rating, F.lit(0))
     marked = F.max((p != 0) | (stars > 0)).over(Window.partitionBy(group))
     at = F.row_number().over(Window.partitionBy(group).orderBy((p == 1).desc(), stars.desc(), *position))

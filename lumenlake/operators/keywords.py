@@ -20,14 +20,22 @@ def merged(rows: DataFrame, by: str, word: str, position: str, mapping: dict[str
     return deduplicated(renamed, by, word, position).groupBy(by).agg(listed.alias("k")).select(by, F.col(f"k.{word}").alias("keywords"))
 
 
-def vocabulary(uses: DataFrame, pinned: list[str], most: int) -> DataFrame:
-    """(name, uses) in alphabetical order: pinned words, then the most used, `most` in all.
-
-    Counts fold spellings in partial sums, so a word that a third of all rows use is one row for each task."""
-    folded = uses.groupBy(F.lower(F.trim("name")).alias("name")).agg(F.sum("uses").alias("uses")).filter("name <> ''")
-    fixed = folded.filter(F.col("name").isin([p.lower() for p in pinned])) if pinned else folded.limit(0)
-    rest = folded.join(fixed.select("name"), "name", "left_anti").orderBy(F.desc("uses"), "name").limit(max(0, most - len(pinned)))
-    return fixed.unionByName(rest).orderBy("name")
+def vocabulary(uses: DataFrame, pinned: list[str], most: int, position: str = "position") -> DataFrame:
+    """(name, uses) in alphabetical order: pinned words, then the most used of uses(name, uses, position), `most` in all.
+
+    Pinned words count whether anybody uses them or not, and never go beyond `most`. Spellings that differ in case are one
+    word, shown as it is pinned or else as it first stands; words used equally often come by that name. Counts fold
+    spellings in partial aggregates, so a word that a third of all rows use is one row for each task."""
+    fixed: dict[str, str] = {}
+    for p in filter(None, map(str.strip, pinned)):
+        if len(fixed) < most:
+            fixed.setdefault(p.lower(), p)
+    named = uses.select(F.trim("name").alias("name"), "uses", position).filter("name <> ''")
+    folded = named.groupBy(F.lower("name").alias("key")).agg(F.min_by("name", F.struct(position, "name")).alias("name"), F.sum(F.coalesce("uses", F.lit(0))).alias("uses"))
+    first = uses.sparkSession.createDataFrame(list(fixed.items()), "key string, pinned string")
+    rest = folded.join(first, "key", "left_anti").orderBy(F.desc("uses"), "name").limit(most - len(fixed)).select("name", "uses")
+    kept = F.broadcast(first).join(folded, "key", "left").select(F.col("pinned").alias("name"), F.coalesce("uses", F.lit(0)).alias("uses"))
+    return kept.unionByName(rest).orderBy("name")
 
 
 def siblings(tree: DataFrame) -> DataFrame:
@@ -42,7 +50,7 @@ def condensed(messages: Column, most: int = 5) -> Column:
     return F.array_join(F.slice(F.array_distinct(messages), 1, most), " | ")
 
 
-def condensed(rows: DataFrame, by: str, message: str, position: str, shown: int = 5) -> DataFrame:
+def summaries(rows: DataFrame, by: str, message: str, position: str, shown: int = 5) -> DataFrame:
     """(by, messages): each list's different messages as they first come, a line each; those beyond `shown` are counted.
 
     Null messages are none; repeats meet in partial aggregates before the shuffle, and no list is collected beyond `shown`."""

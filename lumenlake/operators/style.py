@@ -189,10 +189,11 @@ def outcome(scored: DataFrame, requests: DataFrame, training: int) -> DataFrame:
     """(request, engine, confidence, matched, names, warning) for each of requests(request).
 
     Of scored(request, score, id, name), some dozens for a request, the best WINNERS are matched, of equal ones the
-    smallest id. Fewer than ENOUGH training rows, or none found, give no result; confidence is the best score."""
+    smallest id. One without a name is called by its label, if scored has such a column, and else by its id. Fewer than ENOUGH training rows, or none found, give no result; confidence is the best score."""
     best = Window.partitionBy("request").orderBy(F.desc("score"), "id")
     won = scored.select("*", F.row_number().over(best).alias("at")).filter(F.col("at") <= WINNERS)
-    rolled = won.groupBy("request").agg(round_away(F.max("score"), 3).alias("best"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("at", F.coalesce("name", F.col("id").cast("string")).alias("name")))).alias("listed"))
+    called = F.coalesce("name", *(["label"] if "label" in scored.columns else []), F.col("id").cast("string"))
+    rolled = won.groupBy("request").agg(round_away(F.max("score"), 3).alias("best"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("at", called.alias("name")))).alias("listed"))
     enough = F.lit(training >= ENOUGH)
     some = enough & F.col("n").isNotNull()
     warning = (

@@ -24,8 +24,8 @@ def rolled_up(rows: DataFrame, ranks: list[str]) -> DataFrame:
 
 
 def answer(rolled: DataFrame, ranks: list[str], floor: float) -> DataFrame:
-    """The best node of the deepest rank on which one reaches the floor and has a name."""
-    best = rolled.groupBy("depth").agg(F.max_by(F.struct(*ranks, "p"), "p").alias("best"))
+    """The best node of the deepest rank on which one reaches the floor and has a name; of equal ones the first by path."""
+    best = rolled.groupBy("depth").agg(F.min_by(F.struct(*ranks, "p"), F.struct((-F.col("p")).alias("order"), *ranks)).alias("best"))
     name = F.array(*(F.col(f"best.{r}") for r in ranks))
     return best.filter((F.col("best.p") >= floor) & (F.coalesce(F.get(name, F.col("depth") - 1), F.lit("")) != "")).orderBy(F.desc("depth")).limit(1).select("depth", "best.*")
 

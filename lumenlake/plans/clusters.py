@@ -96,12 +96,12 @@ def keyword_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def message_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as messages of a user's run."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.concat_ws(" ", "event_type", F.floor(F.col("value") / 20).cast("string")).alias("message"))
-    return keywords.condensed(e, "user_id", "message", "event_id")
+    return keywords.summaries(e, "user_id", "message", "event_id")
 
 
 def vocab_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uses = _words(spark, sf_dir).select(F.col("word").alias("name"), F.lit(1).alias("uses"))
-    return keywords.vocabulary(uses, ["license"], 50)
+    uses = _words(spark, sf_dir).select(F.col("word").alias("name"), F.lit(1).alias("uses"), F.struct("doc_id", "pos").alias("position"))
+    return keywords.vocabulary(uses, ["License", "nobody uses this", " LICENSE "], 50)
 
 
 def sibling_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +153,9 @@ WITH m AS (SELECT user_id, event_id, concat_ws(' ', event_type, floor(value / 20
 f AS (SELECT user_id, message, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id), message) AS n FROM m GROUP BY user_id, message)
 SELECT user_id, string_agg(message, chr(10) ORDER BY n) FILTER (n <= 5) || CASE WHEN count(*) > 5 THEN chr(10) || '...and ' || (count(*) - 5) || ' more' ELSE '' END AS messages FROM f GROUP BY 1""",
     "vocab_rank": """
-WITH w AS (SELECT lower(trim(unnest(string_split(text, ' ')))) AS name FROM documents), c AS (SELECT name, count(*) AS uses FROM w WHERE name <> '' GROUP BY 1)
-SELECT * FROM c WHERE name = 'license' UNION ALL SELECT * FROM (SELECT * FROM c WHERE name <> 'license' ORDER BY uses DESC, name LIMIT 49)""",
+WITH w AS (SELECT doc_id, trim(unnest(string_split(text, ' '))) AS name, unnest(range(len(string_split(text, ' ')))) AS pos FROM documents),
+c AS (SELECT lower(name) AS key, arg_min(name, (doc_id, pos)) AS name, count(*) AS uses FROM w WHERE name <> '' GROUP BY 1)
+SELECT 'License' AS name, coalesce((SELECT uses FROM c WHERE key = 'license'), 0) AS uses UNION ALL SELECT 'nobody uses this', 0
+UNION ALL SELECT name, uses FROM (SELECT * FROM c WHERE key <> 'license' ORDER BY uses DESC, name LIMIT 48)""",
     "sibling_leaves": "SELECT r_name AS parent, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS leaves FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1 HAVING count(DISTINCT n_name) >= 2",
 }

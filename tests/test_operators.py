@@ -257,8 +257,8 @@ def test_label_ranks(spark):
 
 
 def test_condensed_messages(spark):
-    from lumenlake.operators.keywords import condensed
+    from lumenlake.operators.keywords import summaries
 
     rows = [("x", i, m) for i, m in enumerate(["b", "a", "b", "c", "d", "e", "f", "g", None])] + [("y", 0, "a"), ("y", 1, "a"), ("z", 0, None)]
-    got = condensed(spark.createDataFrame(rows, "run string, at int, m string"), "run", "m", "at")
+    got = summaries(spark.createDataFrame(rows, "run string, at int, m string"), "run", "m", "at")
     assert {r.run: r.messages for r in got.collect()} == {"x": "b\na\nc\nd\ne\n...and 2 more", "y": "a"}

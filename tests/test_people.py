@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenlake.functions import histogram
-from lumenlake.operators import keywords, people, style, taxonomy
+from lumenlake.operators import keywords, ordering, people, style, taxonomy
 from lumenlake.plans import people as plans
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +93,12 @@ def test_histogram_of_few_values(spark):
     bins = histogram.binned(values, "g", "v")
     assert rows(bins, "bin", "n") == {(0, 1), (128, 1), (255, 1)}
     assert rows(histogram.percentiles(bins, "g", {"low": 0.0, "mid": 0.5, "high": 7.0}), "low", "mid", "high") == {(0.0, 128 / 255, 1.0)}
+
+
+@pytest.mark.parametrize("per_slice", [1 << 18, 10])
+def test_positions(spark, per_slice):
+    rows = spark.range(1000).select(F.xxhash64("id").alias("x"), (F.col("id") % 7).alias("k"), F.col("id").alias("row"))
+    found = ordering.positions(rows, [F.desc("k"), F.asc("x")], "at", per_slice).collect()
+    want = sorted(found, key=lambda r: (-r.k, r.x))
+    assert [r.at for r in want] == list(range(1, 1001)) and [c for c in found[0].asDict()] == ["x", "k", "row", "at"]
+    assert ordering.positions(rows.limit(0), [F.asc("x")], "at").collect() == []
