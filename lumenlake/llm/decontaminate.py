@@ -116,6 +116,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     """The rows of `docs`, with all their columns, in which no window of `benchmark` occurs; of any id, null too."""
     found = occurrences(materialized(tokenised(docs), "words"), benchmark, width)
     bad = materialized(found.select("doc_id", "text_hash").distinct(), "contaminated")
-    d = docs.withColumn("__text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).alias("d")
+    d = docs.select(F.struct(*docs.columns).alias("whole"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).alias("d")
     b = bad.alias("b")
-    return d.join(b, F.expr("d.doc_id <=> b.doc_id AND d.__text_hash = b.text_hash"), "left_anti").drop("__text_hash")
+    return d.join(b, F.expr("d.whole.doc_id <=> b.doc_id AND d.text_hash = b.text_hash"), "left_anti").select("d.whole.*")

@@ -27,11 +27,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.llm.common import materialized, with_key
-from lumenlake.llm.components import components, joined
+from lumenlake.llm.components import HOT, components, joined
 
 RADIUS = 3
 SEED = 42
@@ -253,6 +253,31 @@ def _alike(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, alike boolean")
 
 
+#: A node in so many stands for all where hot shingles are looked for.
+_LOOKED_AT = 16
+
+
+def hot_shingles(sets: DataFrame) -> DataFrame | None:
+    """(gram) of sets(node, gram) that a thousandth of all rows hold, by a sample of nodes, so a few thousand at most; None
+    if there are none. They are only dealt out in another way, which changes no result."""
+    some = sets.filter(F.pmod(F.xxhash64("node"), F.lit(_LOOKED_AT)) == 0)
+    n = some.count()
+    hot = materialized(some.groupBy("gram").agg(F.count("*").alias("n")).filter((F.col("n") > n * HOT) & (F.col("n") > 1)).select("gram"), "copies-hot")
+    return None if hot.isEmpty() else F.broadcast(hot)
+
+
+def by_shingle(rows: DataFrame, hot: DataFrame | None, **aggregates: str) -> DataFrame:
+    """`rows` with columns that hold aggregates, in SQL, of all rows of the same gram.
+
+    Rows of hot shingles stay where they are: their aggregates are combined within tasks and broadcast."""
+    over = {k: F.expr(a).over(Window.partitionBy("gram")) for k, a in aggregates.items()}
+    if hot is None:
+        return rows.withColumns(over)
+    own = rows.join(hot, "gram", "left_semi")
+    few = F.broadcast(own.groupBy("gram").agg(*(F.expr(a).alias(k) for k, a in aggregates.items())))
+    return rows.join(hot, "gram", "left_anti").withColumns(over).unionByName(own.join(few, "gram"))
+
+
 def copy_groups(docs: DataFrame, shingle: int = 5, crowd: int = CROWD) -> DataFrame:
     """(doc_id, text_hash, root) for every row of docs(doc_id, text): near copies, and what they connect, share a root.
 
@@ -288,10 +313,12 @@ def copy_groups(docs: DataFrame, shingle: int = 5, crowd: int = CROWD) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
     asked = keyed.select("doc_id", "text_hash", F.col("text").cast("binary").alias("text"))
     prints = materialized(asked.mapInArrow(place, f"doc_id {kind}, text_hash long, node long, n int, first array<long>, bits array<long>"), "copies-prints")
+    ordered.destroy()
     # Copies meet in partial aggregates before the shuffle.
     once = materialized(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"), F.first("bits").alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("of")), "copies-nodes")
     sets = once.select("node", "n", F.posexplode("first").alias("pos", "gram"))
-    held = materialized(sets.selectExpr("*", "count(*) OVER (PARTITION BY gram) AS held").filter("held > 1").drop("held"), "copies-held")
+    hot = hot_shingles(sets)
+    held = materialized(by_shingle(sets, hot, held="count(*)").filter("held > 1").drop("held"), "copies-held")
     # One text of each node that has candidates.
     named = once.join(held.select("node").distinct(), "node", "left_semi")
     buckets = materialized(held.join(named.select("node", "bits"), "node"), "copies-buckets")
@@ -302,8 +329,8 @@ def copy_groups(docs: DataFrame, shingle: int = 5, crowd: int = CROWD) -> DataFr
     tried, rooted = None, buckets.withColumn("root", F.col("node"))
     for turn in range(HUBS):
         # Another node of each bucket in turn is its hub; a node is held against one hub of each component that it meets.
-        hub = f"min(struct(xxhash64(root, {turn}) AS order, xxhash64(node, {turn}) AS turn, node, n, pos, root, bits)) OVER (PARTITION BY gram)"
-        met = rooted.selectExpr("struct(node, n, pos, root, bits) AS x", f"{hub} AS y").filter("x.root <> y.root").filter(_near("x", "y"))
+        hub = f"min(struct(xxhash64(root, {turn}) AS order, xxhash64(node, {turn}) AS turn, node, n, pos, root, bits))"
+        met = by_shingle(rooted, hot, y=hub).selectExpr("struct(node, n, pos, root, bits) AS x", "y").filter("x.root <> y.root").filter(_near("x", "y"))
         hubs = met.groupBy("x.node", "y.root").agg(F.min(F.struct("y.turn", "y.node")).alias("hub")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         hubs = hubs.join(tried, ["a", "b"], "left_anti") if tried is not None else hubs
         found = materialized(_alike(hubs, texts, shingle), "copies-hubs")
@@ -313,15 +340,9 @@ def copy_groups(docs: DataFrame, shingle: int = 5, crowd: int = CROWD) -> DataFr
         roots = components(tried.filter("alike").select("a", "b")).withColumnRenamed("node", "own")
         rooted = buckets.join(roots, F.col("node") == F.col("own"), "left").select("gram", "node", "n", "pos", "bits", F.coalesce("root", "node").alias("root"))
         rooted = materialized(rooted, "copies-rooted")
-    mixed = materialized(
-        rooted.selectExpr(
-            "*",
-            "min(root) OVER (PARTITION BY gram) <> max(root) OVER (PARTITION BY gram) AS mixed",
-            f"cast((row_number() OVER (PARTITION BY gram ORDER BY node) - 1) / {crowd} AS int) AS part",
-            f"cast((count(*) OVER (PARTITION BY gram) - 1) / {crowd} AS int) AS last",
-        ).filter("mixed").drop("mixed"),
-        "copies-mixed",
-    )
+    # Nodes are dealt to a bucket's blocks by a hash, so a block has about `crowd` of them.
+    cut = by_shingle(rooted, hot, low="min(root)", high="max(root)", of="count(*)").filter("low <> high")
+    mixed = materialized(cut.selectExpr("gram", "node", "n", "pos", "root", "bits", f"cast((of - 1) / {crowd} AS int) AS last").withColumn("part", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int")), "copies-mixed")
     x = mixed.selectExpr("*", "part AS low", "explode(sequence(part, last)) AS high").alias("x")
     y = mixed.selectExpr("*", "part AS high", "explode(sequence(0, part)) AS low").alias("y")
     pairs = (
@@ -347,10 +368,11 @@ def deduplicated(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """`docs`, with all columns, less all but one document of each group of near copies: the smallest doc_id stays.
 
     Ids may repeat or be null: a document is named by (doc_id, text_hash), nulls last, and only the survivor's own
-    repeats are reduced to one, the smallest row."""
+    repeats are reduced to one: that whose other columns, of any type, have the smallest hash as JSON."""
     groups = copy_groups(docs.select("doc_id", "text"), shingle)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("of"))
-    d = docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).alias("d")
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *(c for c in docs.columns if c not in ("doc_id", "text"))))
+    d = docs.select(F.struct(*docs.columns).alias("whole"), F.xxhash64(others).alias("order"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).alias("d")
     f = first.alias("f")
     kept = d.join(f, F.expr("d.doc_id <=> f.of.doc_id AND d.text_hash = f.of.text_hash"), "left_semi")
-    return kept.groupBy("doc_id", "text_hash").agg(F.min("whole").alias("whole")).select("whole.*")
+    return kept.groupBy("doc_id", "text_hash").agg(F.min_by("whole", "order").alias("whole")).select("whole.*")

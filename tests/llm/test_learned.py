@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenlake.llm import language_model, pieces, queries, simhash, toxicity, warc
+from lumenlake.llm import decontaminate, language_model, pieces, queries, simhash, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string, score int, row int, key string"
@@ -407,3 +407,41 @@ def test_pipeline_stages(spark):
         now = after
     out = corpus_pipeline.STAGES[-1][1](spark, now, SF)
     assert out.count() == now.count() and out.filter("NOT exact").isEmpty()
+
+
+def test_columns_of_any_type_are_carried_through(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_LOOKED_AT", 1)
+    text = lambda i: " ".join(f"w{i * 1000 + k}" for k in range(60))
+    template = " ".join(f"t{k}" for k in range(50))
+    rows = [(i, text(i // 2)) for i in range(8)] + [(8, f"{template} only in eight"), (9, f"{template} only in nine"), (3, text(1)), (None, None), (20, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = docs.selectExpr("doc_id", "text", "map('a', doc_id) AS __text_hash", "parse_json('{\"a\": 1}') AS whole", "interval 1 day AS d", "cast('x' AS binary) AS order", "array(map(1, text)) AS of")
+    kept = simhash.deduplicated(odd)
+    assert kept.dtypes == odd.dtypes
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 6, 8, 20]
+    benchmark = spark.createDataFrame([(1, text(2))], "item_id long, text string")
+    left = decontaminate.decontaminated(odd, benchmark)
+    assert left.columns == odd.columns
+    assert sorted(r.doc_id or -1 for r in left.select("doc_id").collect()) == sorted(r[0] or -1 for r in rows if r[0] not in (4, 5))
+    labels = spark.createDataFrame([(0, 0), (2, 1)], "doc_id long, toxic int")
+    calm = toxicity.accepted(odd, labels)
+    assert calm.columns == odd.columns and calm.count() == len(rows)
+
+
+def test_hot_shingles_by_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    lines = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(8)) for _ in range(30)]
+    rows = [(i, " ".join(rng.choice(lines[: 4 + i // 8]) for _ in range(rng.randrange(3, 9)))) for i in range(150)]
+    sets = [simhash.shingle_set(t.encode(), 5) for _, t in rows]
+    near = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and near(sets[i], sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    for looked, share in ((1, 0.0), (1, 0.02), (10**6, 0.0)):
+        monkeypatch.setattr(simhash, "_LOOKED_AT", looked)
+        monkeypatch.setattr(simhash, "HOT", share)
+        got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), crowd=4).collect()}
+        assert got == dict(enumerate(root))
