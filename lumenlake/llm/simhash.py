@@ -201,15 +201,19 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
-def _near(a: str, b: str) -> str:
-    """SQL: two sets' sizes, places of a common shingle and parities allow for SIMILARITY."""
+def _even(a: str, b: str) -> str:
+    """SQL: two sets' sizes and parities allow for SIMILARITY."""
     at_most = f"{(1 - SIMILARITY) / (1 + SIMILARITY)} * ({a}.n + {b}.n) + 1e-6"
     apart = " + ".join(f"bit_count({a}.bits[{i}] ^ {b}.bits[{i}])" for i in range(PARITIES // 64))
+    return f"{apart} <= {at_most}"
+
+
+def _near(a: str, b: str) -> str:
+    """SQL: two sets' sizes and places of a common shingle allow for SIMILARITY."""
     return (
         f"least({a}.n, {b}.n) >= {SIMILARITY} * greatest({a}.n, {b}.n) - 1e-6"
         # What both can share at most: all before the lesser place, and all from there on in the set with less left.
         f" AND least({a}.pos, {b}.pos) + least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {SIMILARITY / (1 + SIMILARITY)} * ({a}.n + {b}.n) - 1e-6"
-        f" AND {apart} <= {at_most}"
     )
 
 
@@ -321,33 +325,38 @@ def copy_groups(docs: DataFrame, shingle: int = 5, crowd: int = CROWD) -> DataFr
     held = materialized(by_shingle(sets, hot, held="count(*)").filter("held > 1").drop("held"), "copies-held")
     # One text of each node that has candidates.
     named = once.join(held.select("node").distinct(), "node", "left_semi")
-    buckets = materialized(held.join(named.select("node", "bits"), "node"), "copies-buckets")
     d, r = asked.alias("d"), named.select("node", "of").alias("r")
     same = F.expr("d.doc_id <=> r.of.doc_id AND d.text_hash = r.of.text_hash")
     texts = d.join(r, same).select("r.node", F.coalesce("d.text", F.lit(b"")).alias("text")).dropDuplicates(["node"])
     texts = materialized(texts, "copies-texts")
-    tried, rooted = None, buckets.withColumn("root", F.col("node"))
+    marks = materialized(named.select("node", "n", "bits"), "copies-parities")  # joined to pairs, not to every shingle
+    tried, rooted = None, held.withColumn("root", F.col("node"))
     for turn in range(HUBS):
         # Another node of each bucket in turn is its hub; a node is held against one hub of each component that it meets.
-        hub = f"min(struct(xxhash64(root, {turn}) AS order, xxhash64(node, {turn}) AS turn, node, n, pos, root, bits))"
-        met = by_shingle(rooted, hot, y=hub).selectExpr("struct(node, n, pos, root, bits) AS x", "y").filter("x.root <> y.root").filter(_near("x", "y"))
-        hubs = met.groupBy("x.node", "y.root").agg(F.min(F.struct("y.turn", "y.node")).alias("hub")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+        hub = f"min(struct(xxhash64(root, {turn}) AS order, xxhash64(node, {turn}) AS turn, node, n, pos, root))"
+        met = by_shingle(rooted, hot, y=hub).selectExpr("struct(node, n, pos, root) AS x", "y").filter("x.root <> y.root").filter(_near("x", "y"))
+        pairs = met.select("x.node", F.col("y.node").alias("other"), "y.root", "y.turn").distinct()
+        p, x, y = pairs.alias("p"), marks.alias("x"), marks.alias("y")
+        even = p.join(x, F.expr("p.node = x.node")).join(y, F.expr("p.other = y.node")).filter(_even("x", "y")).select("p.*")
+        hubs = even.groupBy("node", "root").agg(F.min(F.struct("turn", F.col("other").alias("node"))).alias("hub")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         hubs = hubs.join(tried, ["a", "b"], "left_anti") if tried is not None else hubs
         found = materialized(_alike(hubs, texts, shingle), "copies-hubs")
         tried = found if tried is None else tried.union(found)
         if found.filter("alike").isEmpty():
             break
         roots = components(tried.filter("alike").select("a", "b")).withColumnRenamed("node", "own")
-        rooted = buckets.join(roots, F.col("node") == F.col("own"), "left").select("gram", "node", "n", "pos", "bits", F.coalesce("root", "node").alias("root"))
+        rooted = held.join(roots, F.col("node") == F.col("own"), "left").select("gram", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
         rooted = materialized(rooted, "copies-rooted")
     # Nodes are dealt to a bucket's blocks by a hash, so a block has about `crowd` of them.
     cut = by_shingle(rooted, hot, low="min(root)", high="max(root)", of="count(*)").filter("low <> high")
+    cut = cut.join(marks.select("node", "bits"), "node")
     mixed = materialized(cut.selectExpr("gram", "node", "n", "pos", "root", "bits", f"cast((of - 1) / {crowd} AS int) AS last").withColumn("part", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int")), "copies-mixed")
     x = mixed.selectExpr("*", "part AS low", "explode(sequence(part, last)) AS high").alias("x")
     y = mixed.selectExpr("*", "part AS high", "explode(sequence(0, part)) AS low").alias("y")
     pairs = (
         x.join(y, F.expr("x.gram = y.gram AND x.low = y.low AND x.high = y.high AND x.node < y.node AND x.root <> y.root"))
         .filter(_near("x", "y"))
+        .filter(_even("x", "y"))
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
