@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,3 +27,11 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def swept(df: DataFrame) -> DataFrame:
+    """`df`, which must be written already. Shuffle files of finished steps stay on executors' disks until the driver
+    collects garbage, which it may not do for long; after a step that shuffled much this asks for it."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
