@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.llm.common import materialized, with_key
 from lumenlake.llm.components import HOT, components, joined
+from lumenlake.plans.lineage import swept
 
 RADIUS = 3
 SEED = 42
@@ -316,19 +317,19 @@ def copy_groups(docs: DataFrame, shingle: int = 5, crowd: int = CROWD) -> DataFr
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     asked = keyed.select("doc_id", "text_hash", F.col("text").cast("binary").alias("text"))
-    prints = materialized(asked.mapInArrow(place, f"doc_id {kind}, text_hash long, node long, n int, first array<long>, bits array<long>"), "copies-prints")
+    prints = swept(materialized(asked.mapInArrow(place, f"doc_id {kind}, text_hash long, node long, n int, first array<long>, bits array<long>"), "copies-prints"))
     ordered.destroy()
     # Copies meet in partial aggregates before the shuffle.
-    once = materialized(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"), F.first("bits").alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("of")), "copies-nodes")
+    once = swept(materialized(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"), F.first("bits").alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("of")), "copies-nodes"))
     sets = once.select("node", "n", F.posexplode("first").alias("pos", "gram"))
     hot = hot_shingles(sets)
-    held = materialized(by_shingle(sets, hot, held="count(*)").filter("held > 1").drop("held"), "copies-held")
+    held = swept(materialized(by_shingle(sets, hot, held="count(*)").filter("held > 1").drop("held"), "copies-held"))
     # One text of each node that has candidates.
     named = once.join(held.select("node").distinct(), "node", "left_semi")
     d, r = asked.alias("d"), named.select("node", "of").alias("r")
     same = F.expr("d.doc_id <=> r.of.doc_id AND d.text_hash = r.of.text_hash")
     texts = d.join(r, same).select("r.node", F.coalesce("d.text", F.lit(b"")).alias("text")).dropDuplicates(["node"])
-    texts = materialized(texts, "copies-texts")
+    texts = swept(materialized(texts, "copies-texts"))
     marks = materialized(named.select("node", "n", "bits"), "copies-parities")  # joined to pairs, not to every shingle
     tried, rooted = None, held.withColumn("root", F.col("node"))
     for turn in range(HUBS):
@@ -340,7 +341,7 @@ def copy_groups(docs: DataFrame, shingle: int = 5, crowd: int = CROWD) -> DataFr
         even = p.join(x, F.expr("p.node = x.node")).join(y, F.expr("p.other = y.node")).filter(_even("x", "y")).select("p.*")
         hubs = even.groupBy("node", "root").agg(F.min(F.struct("turn", F.col("other").alias("node"))).alias("hub")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         hubs = hubs.join(tried, ["a", "b"], "left_anti") if tried is not None else hubs
-        found = materialized(_alike(hubs, texts, shingle), "copies-hubs")
+        found = swept(materialized(_alike(hubs, texts, shingle), "copies-hubs"))
         tried = found if tried is None else tried.union(found)
         if found.filter("alike").isEmpty():
             break
@@ -350,7 +351,7 @@ def copy_groups(docs: DataFrame, shingle: int = 5, crowd: int = CROWD) -> DataFr
     # Nodes are dealt to a bucket's blocks by a hash, so a block has about `crowd` of them.
     cut = by_shingle(rooted, hot, low="min(root)", high="max(root)", of="count(*)").filter("low <> high")
     cut = cut.join(marks.select("node", "bits"), "node")
-    mixed = materialized(cut.selectExpr("gram", "node", "n", "pos", "root", "bits", f"cast((of - 1) / {crowd} AS int) AS last").withColumn("part", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int")), "copies-mixed")
+    mixed = swept(materialized(cut.selectExpr("gram", "node", "n", "pos", "root", "bits", f"cast((of - 1) / {crowd} AS int) AS last").withColumn("part", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int")), "copies-mixed"))
     x = mixed.selectExpr("*", "part AS low", "explode(sequence(part, last)) AS high").alias("x")
     y = mixed.selectExpr("*", "part AS high", "explode(sequence(0, part)) AS low").alias("y")
     pairs = (
@@ -361,7 +362,7 @@ def copy_groups(docs: DataFrame, shingle: int = 5, crowd: int = CROWD) -> DataFr
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
-    others = materialized(_alike(pairs, texts, shingle), "copies-pairs")
+    others = swept(materialized(_alike(pairs, texts, shingle), "copies-pairs"))
     whole = components(tried.union(others).filter("alike").select("a", "b"))
     return joined(prints.select("doc_id", "text_hash", "node"), whole, "node").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
