@@ -38,9 +38,10 @@ def swept(df: DataFrame) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """`df` written once to the shared folder, dealt by `key` as a shuffle would: joins by it shuffle the other side only."""
+    """`df` written once to the shared folder, dealt by `key` as a shuffle would: joins by it shuffle the other side only.
+    Of rows of one key one stays."""
     spark = df.sparkSession
     table, n = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{table}")
+    dealt = df.repartition(n, key).dropDuplicates([key]).write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{table}")
     dealt.bucketBy(n, key).sortBy(key).saveAsTable(table)
     return spark.table(table)
