@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.llm.common import materialized, with_key
 from lumenlake.llm.components import HOT, components, joined
-from lumenlake.plans.lineage import swept
+from lumenlake.plans.lineage import bucketed, swept
 
 RADIUS = 3
 SEED = 42
@@ -320,17 +320,18 @@ def copy_groups(docs: DataFrame, shingle: int = 5, crowd: int = CROWD) -> DataFr
     prints = swept(materialized(asked.mapInArrow(place, f"doc_id {kind}, text_hash long, node long, n int, first array<long>, bits array<long>"), "copies-prints"))
     ordered.destroy()
     # Copies meet in partial aggregates before the shuffle.
-    once = swept(materialized(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"), F.first("bits").alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("of")), "copies-nodes"))
-    sets = once.select("node", "n", F.posexplode("first").alias("pos", "gram"))
-    hot = hot_shingles(sets)
+    once = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("of"))
+    sets = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first")).select("node", "n", F.posexplode("first").alias("pos", "gram"))
+    hot = hot_shingles(prints.select("node", F.explode("first").alias("gram")))
+    sets = sets if hot is None else materialized(sets, "copies-sets")
     held = swept(materialized(by_shingle(sets, hot, held="count(*)").filter("held > 1").drop("held"), "copies-held"))
     # One text of each node that has candidates.
-    named = once.join(held.select("node").distinct(), "node", "left_semi")
+    named = swept(materialized(once.join(held.select("node").distinct(), "node", "left_semi"), "copies-named"))
     d, r = asked.alias("d"), named.select("node", "of").alias("r")
     same = F.expr("d.doc_id <=> r.of.doc_id AND d.text_hash = r.of.text_hash")
-    texts = d.join(r, same).select("r.node", F.coalesce("d.text", F.lit(b"")).alias("text")).dropDuplicates(["node"])
-    texts = swept(materialized(texts, "copies-texts"))
-    marks = materialized(named.select("node", "n", "bits"), "copies-parities")  # joined to pairs, not to every shingle
+    texts = d.join(r, same).select("r.node", F.coalesce("d.text", F.lit(b"")).alias("text"))
+    texts = swept(bucketed(texts, "node", "copies_texts"))  # each verification shuffles pairs, not all texts
+    marks = named.select("node", "n", "bits")  # joined to pairs, not to every shingle
     tried, rooted = None, held.withColumn("root", F.col("node"))
     for turn in range(HUBS):
         # Another node of each bucket in turn is its hub; a node is held against one hub of each component that it meets.
