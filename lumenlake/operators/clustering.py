@@ -11,11 +11,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.functions.vector import cosine_of_units, normalized
 from lumenlake.operators.grouping import components
+from lumenlake.operators.ordering import positions
+from lumenlake.operators.pairs import near_pairs
 from lumenlake.plans.lineage import materialized
 
 #: Points that agglomeration takes at once; beyond it there is no result.
@@ -30,20 +32,6 @@ def _blocks(centers: DataFrame) -> list[DataFrame]:
     return [F.broadcast(centers.filter(F.pmod(F.xxhash64("cluster"), F.lit(n)) == i) if n > 1 else centers) for i in range(n)]
 
 
-def near_pairs(points: DataFrame, cosine: float, *, id_: str = "id", vector: str = "vector") -> DataFrame:
-    """(a, b, distance): pairs within a cosine distance, exactly.
-
-    Unit vectors within d of each other differ by at most sqrt(2 d) in length along any direction. Points are cut into
-    slabs of that width along a fixed direction of their first coordinates; only equal and neighbouring slabs meet."""
-    reach = math.sqrt(2 * cosine) + 1e-6
-    along = F.aggregate(F.slice(vector, 1, 16), F.lit(0.0), lambda s, x: s + x.cast("double")) / 4.0
-    slab = F.floor(along / reach)
-    p = points.select(F.col(id_).alias("id"), F.col(vector).alias("v"), slab.alias("slab"))
-    left = p.select(F.col("id").alias("a"), F.col("v").alias("va"), F.explode(F.array(F.col("slab") - 1, F.col("slab"), F.col("slab") + 1)).alias("slab"))
-    right = p.select(F.col("id").alias("b"), F.col("v").alias("vb"), "slab")
-    return left.join(right, "slab").filter("a < b").select("a", "b", cosine_of_units(F.col("va"), F.col("vb")).alias("distance")).filter(F.col("distance") <= cosine)
-
-
 def dbscan(points: DataFrame, cosine: float, least: int = 2) -> DataFrame:
     """(id, cluster): the smallest core id of the cluster, -1 for noise.
 
@@ -249,11 +237,8 @@ def matched_persons(old: DataFrame, new: DataFrame) -> DataFrame:
     taken = materialized(rows.groupBy("component").applyInPandas(choose, "label long, person string"), "persons")
     number = F.regexp_extract("person", r"^person_(\d{1,18})$", 1)
     last = old.select(number.alias("n")).filter("n <> ''").agg(F.max(F.col("n").cast("long"))).first()[0]
-    free = sizes.join(taken, "label", "left_anti").withColumn("at", F.row_number().over(Window.partitionBy("size").orderBy("label")))
-    # One row for each size of a cluster: how many larger ones come before.
-    each = free.groupBy("size").agg(F.count("*").alias("n"))
-    before = each.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    fresh = free.join(before.select("size", "before"), "size").select("label", F.concat(F.lit("person_"), (F.col("at") + F.col("before") + (-1 if last is None else last)).cast("string")).alias("person"))
+    free = positions(sizes.join(taken, "label", "left_anti"), [F.desc("size"), F.asc("label")], "at")
+    fresh = free.select("label", F.concat(F.lit("person_"), (F.col("at") + (-1 if last is None else last)).cast("string")).alias("person"))
     return taken.unionByName(fresh)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions.scalar import hamming, hash64, round_even
 from lumenlake.functions.vector import cosine_or_null, cosine_or_one
-from lumenlake.operators import search
+from lumenlake.operators import pairs, search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), hash64(F.substring(F.md5("text"), 1, 16)).alias("hash"))
 
 
+def hash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents whose hashes differ in fifteen bits or fewer."""
+    return pairs.hash_pairs(_hashes(spark, sf_dir), 15)
+
+
 def similar_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _hashes(spark, sf_dir)
     return search.similar_by_hash(h, 0, h.filter("id = 0").first().hash, k=24, most=50)
@@ -125,9 +130,12 @@ SELECT id, distance FROM w WHERE n <= 8 OR CASE WHEN kept < 8 THEN rn <= 8 ELSE
 _HASH = "('0x' || substr(md5(text), 1, 16))::UBIGINT"
 _BITS = f"bit_count(xor({_HASH}, (SELECT {_HASH} FROM documents WHERE doc_id = 0)))::INTEGER"
 
-QUERIES = {f.__name__: f for f in (knn_topk, relevance_cut, relevance_cut_strict, hybrid_search, similar_clip, similar_hash, similar_hash_reranked, scope_filter, text_search, prompt_score, cosine_variants, hash_distances)}
+QUERIES = {f.__name__: f for f in (knn_topk, relevance_cut, relevance_cut_strict, hybrid_search, similar_clip, hash_join, similar_hash, similar_hash_reranked, scope_filter, text_search, prompt_score, cosine_variants, hash_distances)}
 
 SQL = {
+    "hash_join": """
+WITH h AS (SELECT doc_id AS id, ('0x' || substr(md5(text), 1, 16))::UBIGINT AS h FROM documents)
+SELECT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h))::INTEGER AS bits FROM h x JOIN h y ON x.id < y.id AND bit_count(xor(x.h, y.h)) <= 15""",
     "knn_topk": f"SELECT vec_id AS id, round({_COS}, 6) AS distance FROM embeddings e, {_query(0)} WHERE vec_id <> 0 ORDER BY {_COS}, vec_id LIMIT 10",
     "relevance_cut": _relevance("", 50),
     "relevance_cut_strict": _relevance("WHERE vec_id <> 0", 75),
