@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions.scalar import clamp, ramp, round_away, unit
+from lumenlake.functions.vector import dot
 
 # Weights of the composite score, and the size of the pool and of the choice.
 CLIP, EXPOSURE, SCENE, TIME = 0.50, 0.25, 0.15, 0.10
 POOL, WINNERS, ENOUGH = 20, 3, 5
+# Scenes in the order of their tags, and the least product with a probe.
+SCENES = (
+    "scene_portrait", "scene_landscape", "scene_architecture", "scene_wildlife", "scene_event", "scene_street", "scene_macro", "scene_interior", "scene_exterior",
+    "scene_golden_hour", "scene_studio", "scene_action",
+)
+SCENE_FLOOR = 0.22
 
 
 def clip_similarity(cosine_distance: Column) -> Column:
     return unit(1 - 2 * cosine_distance / 2)
 
 
+def scene_tags(image: Column, probes: list[list[float]], floor: float = SCENE_FLOOR) -> Column:
+    """The scenes whose probe, a vector of any length, an image comes near, in the order of SCENES. Images are taken as they
+    are, not scaled to unit length. No vector has no tags."""
+    units = [[x / math.hypot(*p) for x in p] for p in probes]
+    found = F.array(*(F.when(dot(image, F.lit(u)) >= floor, F.lit(s)) for s, u in zip(SCENES, units)))
+    return F.array_compact(found)
+
+
 def composite(clip: Column, exposure: Column, scene: Column, time: Column) -> Column:
     return CLIP * clip + EXPOSURE * exposure + SCENE * scene + TIME * time
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlake.functions.parsing import epithet, usable_genus
+
 
 def probabilities(rows: DataFrame, by: list[str], logit: str) -> DataFrame:
     """`rows` with p, the softmax of logits within `by`; the largest is taken off first."""
@@ -46,3 +48,9 @@ ORGANISM = 0.35
 def worth_asking(score: Column, gate: bool = True, least: float = ORGANISM) -> Column:
     """Whether species are looked for: without a gate or a score they are. A photo held back still counts as checked."""
     return F.lit(not gate) | F.coalesce(score >= least, F.lit(True))
+
+
+def cleaned(taxa: DataFrame) -> DataFrame:
+    """taxa(genus, species, ...) that name a species: the genus is one capitalised word and the species holds an epithet, which
+    stands alone afterwards."""
+    return taxa.withColumn("species", epithet(F.col("species"))).filter(usable_genus(F.col("genus")) & F.col("species").isNotNull())
