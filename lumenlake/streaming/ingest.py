@@ -1,21 +1,17 @@
-"""Streaming ingest: upserts in micro-batches with a table for rejected rows, session bursts, and a registry of jobs."""
+"""Streaming ingest: upserts in micro-batches with a table for rejected rows, and session bursts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumenlake.operators.catalog import last_of, upserted
 from lumenlake.plans.lineage import materialized
 
 BUCKETS = 64
-#: Seconds without news after which a job is dropped.
-PATIENCE = 600
 
 
 def upsert_batches(table: str, rejected: str, valid: Callable[[DataFrame], DataFrame], order: str, id_: str = "id", buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
@@ -51,39 +47,18 @@ def bursts(frames: DataFrame, gap: str, late: str) -> DataFrame:
     return sessions.agg(F.count("*").alias("n"), F.min("id").alias("first_id")).select("scope", F.unix_micros("w.start").alias("started"), "n", "first_id")
 
 
-def jobs(updates: DataFrame, patience: int = PATIENCE) -> DataFrame:
-    """(job, status, progress) of updates(job, status, progress): news as they come; `done` and `failed` end a job.
-
-    A job without news for `patience` seconds is reported as `expired` once, and forgotten."""
-
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"job": [key[0]], "status": ["expired"], "progress": [None]})
-            return
-        last = None
-        for batch in batches:
-            for r in batch.itertuples():
-                last = (r.status, r.progress)
-        if last is None:
-            return
-        if last[0] in ("done", "failed"):
-            if state.exists:
-                state.remove()
-        else:
-            state.update(last)
-            state.setTimeoutDuration(patience * 1000)
-        yield pd.DataFrame({"job": [key[0]], "status": [last[0]], "progress": [last[1]]})
-
-    return updates.groupBy("job").applyInPandasWithState(
-        follow, "job string, status string, progress double", "status string, progress double", "update", GroupStateTimeout.ProcessingTimeTimeout
-    )
-
-
-def run_once(stream: DataStreamWriter, checkpoint: str) -> None:
-    """All that has arrived is processed, then the query ends."""
-    query = stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataStreamWriter, checkpoint: str, config: dict[str, str] | None = None) -> None:
+    """All that has arrived is processed, then the query ends. The session has the settings of `config` meanwhile."""
+    spark, config = SparkSession.active(), config or {}
+    before = {k: spark.conf.get(k, None) for k in config}
+    for k, v in config.items():
+        spark.conf.set(k, v)
+    query = None
     try:
+        query = stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        query.stop()
+        if query is not None:
+            query.stop()
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
