@@ -24,7 +24,12 @@ def cosine_or_one(a: Column, b: Column) -> Column:
 
 def cosine_or_null(a: Column, b: Column) -> Column:
     """For grouping: a zero vector has no distance; the similarity is clamped to [-1, 1]."""
-    both = F.nullif(norm(a) * norm(b), F.lit(0.0))
+    return cosine_with_norms(a, b, norm(a), norm(b))
+
+
+def cosine_with_norms(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
+    """The same, of vectors whose norms are known: in joins they are taken once a row, not once a pair."""
+    both = F.nullif(norm_a * norm_b, F.lit(0.0))
     return F.when(both.isNotNull(), 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / both)))
 
 

@@ -1,4 +1,5 @@
-"""Registered queries of facts of groups, of replies and names that are parsed with tolerance, and of scene tags."""
+"""Registered queries of facts of groups and kinds of sets, of replies and names that are parsed with tolerance, and of scene
+tags."""
 
 from __future__ import annotations
 
@@ -6,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions import parsing, scalar
-from lumenlake.operators import facts, replies, style, taxonomy
+from lumenlake.operators import facts, grouping, ranking, replies, style, taxonomy
 from lumenlake.plans.search import photos, table
 
 _W1, _W2 = "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2)"
@@ -28,6 +29,27 @@ def group_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cosine_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as frames half a second apart without hashes; every tenth has no time, every third an exposure."""
+    n = F.col("id")
+    frames = photos(spark, sf_dir).select(
+        "id", F.when(n % 10 != 0, n * 0.5).alias("time"), F.lit(None).cast("long").alias("hash"), "vector", F.when(n % 3 == 0, (n % 2).cast("double")).alias("ev")
+    )
+    return grouping.edges(frames, grouping.Thresholds(3.0, 0.9, 0, 0.5, 12.0)).select("a", "b", "gap", "kind")
+
+
+def set_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four events each as frames: cameras that turn by steps of different width, sharp regions that move, and exposures."""
+    n = F.col("event_id")
+    g, j = F.floor(n / 4), n % 4
+    angle = j * (g % 7 * 0.1 + 0.25)
+    frames = table(spark, sf_dir, "events").select(
+        g.alias("group_id"), n.alias("id"), j.cast("double").alias("time"), F.when(g % 11 == 0, j.cast("double")).alias("ev"), F.when(g % 2 == 0, F.pmod(n * 2654435761, F.lit(4294967296))).otherwise(g).alias("hash"),
+        F.array(F.cos(angle), F.sin(angle)).alias("vector"), F.when(g % 3 == 0, j * (g % 5) * 0.021).alias("x"), F.when(g % 3 == 0, 0.5).alias("y"),
+    )
+    return ranking.intentional_sets(frames)
+
+
 _CONFIRMED = "p_partkey % 2 = 0 AND p_partkey % 4 <> 0"
 _KIND = "CAST((chunk + CAST(split_part(list, '#', 2) AS INT)) % 6 AS INT)"
 
@@ -72,7 +94,7 @@ def scene_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", F.array_join(style.scene_tags(F.col("vector"), said), ",").alias("tags"))
 
 
-QUERIES = {f.__name__: f for f in (group_facts, cluster_replies, taxon_names, task_lists, scene_tags)}
+QUERIES = {f.__name__: f for f in (group_facts, cosine_edges, set_kinds, cluster_replies, taxon_names, task_lists, scene_tags)}
 
 _TAGS = ", ".join(f"'{s}'" for s in style.SCENES)
 SQL = {
@@ -88,6 +110,18 @@ k AS (SELECT "group", string_agg(DISTINCT kind, ',' ORDER BY kind) AS edge_types
 s AS (SELECT "group", count(*) AS size, round(min(t), 3) AS first, round(max(t), 3) AS last, coalesce(round(max(t) - min(t), 3), 0) AS span FROM f GROUP BY 1)
 SELECT s."group", size, first, last, span, coalesce(edge_types, '') AS edge_types, coalesce(n_distances, 0) AS n_distances, coalesce(n_hash_distances, 0) AS n_hash_distances, fewest_bits, most_bits, mean_distance, nearest, furthest, mean_bits
 FROM s LEFT JOIN k USING ("group") LEFT JOIN x USING ("group") LEFT JOIN y USING ("group")""",
+    "cosine_edges": """
+WITH f AS (SELECT vec_id AS id, CASE WHEN vec_id % 10 <> 0 THEN vec_id * 0.5::DOUBLE END AS t, embedding::DOUBLE[] AS v, CASE WHEN vec_id % 3 = 0 THEN vec_id % 2 END AS ev FROM embeddings),
+p AS (SELECT a.id AS a, b.id AS b, b.t - a.t AS gap, 1 - list_cosine_similarity(a.v, b.v) AS d, abs(a.ev - b.ev) > 0.34 AS apart FROM f a JOIN f b ON a.id < b.id WHERE a.t IS NULL OR b.t IS NULL OR b.t - a.t <= 12),
+k AS (SELECT a, b, gap, CASE WHEN apart AND gap <= 3 THEN 'bracket_candidate' WHEN d <= 0.5 THEN 'near_duplicate' WHEN d <= 0.9 AND gap <= 3 THEN 'burst' END AS kind FROM p)
+SELECT * FROM k WHERE kind IS NOT NULL""",
+    "set_kinds": """
+WITH f AS (SELECT event_id // 4 AS g, event_id AS id, CASE WHEN g % 2 = 0 THEN (event_id * 2654435761) % 4294967296 ELSE g END AS h FROM events),
+s AS (SELECT a.g, bool_and(bit_count(xor(a.h, b.h)) <= 12) AS still FROM f a JOIN f b ON a.g = b.g GROUP BY 1),
+n AS (SELECT g, count(*) AS n FROM f GROUP BY 1 HAVING count(*) >= 3),
+k AS (SELECT g AS group_id, CASE WHEN g % 11 = 0 THEN 'bracket' WHEN g % 3 = 0 AND still AND (n - 1) * (g % 5) * 0.021 >= 0.12 THEN 'focus_stack'
+  WHEN NOT still AND 1 - cos(g % 7 * 0.1::DOUBLE + 0.25::DOUBLE) BETWEEN 0.06 AND 0.35 THEN 'panorama' END AS kind FROM n JOIN s USING (g))
+SELECT * FROM k WHERE kind IS NOT NULL""",
     "cluster_replies": f"""
 WITH p AS (SELECT p_brand AS list, CAST((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // {replies.CHUNK} AS INT) AS chunk, p_partkey, {_W1} AS x, {_W2} AS y FROM part),
 k AS (SELECT *, {_KIND} IN (0, 1, 4) AS confirmed FROM p)
