@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions.vector import cosine_of_units, normalized
 from lumenlake.operators.grouping import components
+from lumenlake.operators.linkage import seeded_clusters
 from lumenlake.operators.ordering import positions
 from lumenlake.operators.pairs import near_pairs
 from lumenlake.plans.lineage import materialized
@@ -174,74 +175,104 @@ def weakness(det: Column, area: Column, sharpness: Column, occlusion: Column) ->
     )
 
 
-def clustered_faces(faces: DataFrame, cosine: float = 0.5, least: int = 2, attach: float = 0.9) -> DataFrame:
-    """(id, cluster, how) of faces(id, vector, quality, weak, pinned): how is clustered, attached or unassigned.
+def nearest_centers(points: DataFrame, centers: DataFrame, limit: float) -> DataFrame:
+    """(id, cluster, distance): the nearest centroid of points(id, vector) that have one within the limit; of equal ones
+    the first by name. Pairs out of reach are ruled out by pivots; centers(cluster, centroid) are of any number."""
+    kind, name = points.schema["id"].dataType, centers.schema["cluster"].dataType
+    both = points.select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.lit(False).alias("center"))
+    both = both.unionByName(centers.select(F.concat(F.lit("c"), F.col("cluster").cast("string")).alias("id"), F.col("centroid").alias("vector"), F.lit(True).alias("center")))
+    pairs = near_pairs(both, limit, asks=F.col("center"))  # a < b, and every center's name is less than every point's
+    met = pairs.filter("a LIKE 'c%' AND b LIKE 'p%'").select(F.substring("b", 2, 1 << 30).cast(kind).alias("id"), "distance", F.substring("a", 2, 1 << 30).cast(name).alias("cluster"))
+    return met.groupBy("id").agg(F.min(F.struct("distance", "cluster")).alias("m")).select("id", "m.cluster", "m.distance")
 
-    Faces that are neither weak nor alone are clustered within blocks of faces that chains of near pairs connect, which
-    no complete-linkage cluster crosses. Small clusters without pinned faces are dissolved; they and weak faces join the
-    nearest centroid within attach times the threshold. A cluster is named by its smallest face."""
-    firm = faces.filter("NOT weak")
-    blocks = components(firm.select("id"), near_pairs(firm, cosine)).withColumnRenamed("component", "block")
-    threshold = math.sqrt(2 * cosine)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["quality", "id"], ascending=[False, True]).reset_index(drop=True)
-        points = np.array(part["vector"].tolist())
-        canopy = canopies(points, math.sqrt(2 * min(1.75 * cosine, 0.75))) if len(part) > MOST_POINTS else [0] * len(part)
-        names = pd.Series(-1, index=part.index, dtype="int64")
-        for c in sorted(set(canopy)):
-            own = [i for i, x in enumerate(canopy) if x == c]
-            pins = [None if pd.isna(x) else x for x in part["pinned"].iloc[own]]
-            found = agglomerate(points[own], threshold, "complete", pins)
-            if found is None:  # a canopy that is still too large is cut by canopies of the threshold itself
-                found = canopies(points[own], threshold)
-            for label in set(found):
-                rows = [i for i, x in zip(own, found, strict=True) if x == label]
-                if len(rows) >= least or any(not pd.isna(x) for x in part["pinned"].iloc[rows]):
-                    names.iloc[rows] = part["id"].iloc[rows].min()
-        return pd.DataFrame({"id": part["id"], "cluster": names})
-
-    kept = firm.join(blocks, "id").select("id", "block", "vector", "quality", "pinned")
-    named = materialized(kept.groupBy("block").applyInPandas(run, "id long, cluster long").filter("cluster >= 0"), "faces")
-    centers = centroids(firm.join(named, "id"))
-    loose = faces.join(named, "id", "left_anti")
-    late = attached(loose, centers.select("cluster", "centroid"), attach * cosine)
-    both = named.withColumn("how", F.lit("clustered")).unionByName(
-        late.select("id", "cluster", F.when(F.col("cluster").isNull(), "unassigned").otherwise("attached").alias("how"))
+def clustered_faces(faces: DataFrame, cosine: float = 0.5, least: int = 2, attach: float = 0.9) -> DataFrame:
+    """(id, cluster, how, person) of faces(id, vector, quality, weak, pinned): how is clustered, attached or unassigned.
+
+    Faces pinned to a person are one cluster from the start, which may grow, and never meets another person's; faces
+    pinned to the empty name stay out. Others that aren't weak are clustered with them by complete linkage. Clusters
+    without a person and of fewer than `least` faces are dissolved; their faces and weak ones join the nearest centroid
+    within `attach` times the threshold. A cluster is named by the smallest of the faces that formed it; `person` is the
+    one that it is pinned to. A null `weak` is false. Exact at any size: nothing is cut beforehand."""
+    told = faces.select("id", "vector", "quality", F.coalesce("weak", F.lit(False)).alias("weak"), F.col("pinned").cast("string").alias("pinned"))
+    firm = told.filter("pinned <> '' OR pinned IS NULL AND NOT weak")
+    found = materialized(seeded_clusters(firm.withColumnRenamed("pinned", "seed"), cosine), "faces")
+    kept = found.groupBy(F.col("cluster").alias("number")).agg(F.min("id").alias("name"), F.count("*").alias("size"), F.max("seed").alias("person"))
+    kept = kept.filter((F.col("size") >= max(least, 1)) | F.col("person").isNotNull())
+    named = materialized(found.join(kept, F.col("cluster") == F.col("number")).select("id", F.col("name").alias("cluster"), "person"), "named")
+    centers = centroids(firm.select("id", "vector").join(named, "id")).select("cluster", "centroid")
+    loose = told.filter("pinned IS NULL").join(named, "id", "left_anti")
+    late = nearest_centers(loose, centers, attach * cosine).join(named.select("cluster", "person").distinct(), "cluster")
+    rest = told.select("id").join(named, "id", "left_anti").join(late, "id", "left")
+    how = F.when(F.col("cluster").isNull(), "unassigned").otherwise("attached")
+    return named.select("id", "cluster", F.lit("clustered").alias("how"), "person").unionByName(rest.select("id", "cluster", how.alias("how"), "person"))
+
+
+def face_report(faces: DataFrame, clusters: DataFrame) -> DataFrame:
+    """One row of counts of a run: clusters(id, how, cluster) made from faces(id, weak, pinned, unmeasured)."""
+    n = lambda condition: F.coalesce(F.sum(F.expr(condition).cast("long")), F.lit(0)).alias
+    told = faces.select("id", F.coalesce("weak", F.lit(False)).alias("weak"), F.col("pinned").cast("string").alias("pinned"), F.coalesce("unmeasured", F.lit(False)).alias("unmeasured"))
+    return told.join(clusters, "id").agg(
+        F.count("*").alias("total"),
+        n("coalesce(pinned <> '', false)")("pinned_faces"),
+        n("coalesce(pinned = '', false)")("pinned_out"),
+        n("pinned IS NULL AND weak")("low_quality"),
+        n("pinned IS NULL AND unmeasured")("unmeasured"),
+        n("pinned IS NULL AND NOT weak AND how <> 'clustered'")("dropped_small"),
+        n("how = 'attached'")("attached"),
+        n("how = 'unassigned'")("unassigned"),
+        F.count_distinct("cluster").alias("clusters"),
     )
-    rest = faces.select("id").join(both.select("id"), "id", "left_anti").select("id", F.lit(None).cast("long").alias("cluster"), F.lit("unassigned").alias("how"))
-    return both.unionByName(rest)
 
 
-def matched_persons(old: DataFrame, new: DataFrame) -> DataFrame:
+def matched_persons(old: DataFrame, new: DataFrame, reserved: DataFrame | None = None) -> DataFrame:
     """(label, person): new clusters take over the persons that most of their faces had, the largest cluster first.
 
-    old(face, person), new(face, label). Overlaps are counted in Spark; the greedy choice never reaches beyond clusters
-    and persons that shared faces connect, so it runs on each such component alone. Of equal overlaps the smallest person
-    wins. Clusters without a person get the next free numbers, the largest first."""
-    sizes = new.groupBy("label").agg(F.count_distinct("face").alias("size"))
-    shared = materialized(new.join(old, "face").groupBy("label", "person").agg(F.count_distinct("face").alias("overlap")), "overlaps")
-    named = shared.select(F.xxhash64(F.lit("label"), "label").alias("a"), F.xxhash64(F.lit("person"), "person").alias("b"))
-    member = components(named.select(F.col("a").alias("id")).union(named.select("b")), named)
-    rows = shared.join(sizes, "label").join(member, F.xxhash64(F.lit("label"), "label") == F.col("id")).select("component", "label", "size", "person", "overlap")
-
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for (_, label), own in part.assign(least=-part["size"]).groupby(["least", "label"]):
-            options = sorted((-n, p) for n, p in zip(own["overlap"], own["person"], strict=True) if p not in used)
-            if options:
-                used.add(options[0][1])
-                out.append((label, options[0][1]))
-        return pd.DataFrame(out, columns=["label", "person"])
-
-    taken = materialized(rows.groupBy("component").applyInPandas(choose, "label long, person string"), "persons")
+    old(face, person), new(face, label), reserved(person): nobody takes reserved persons, but their numbers count as used.
+    Of equal overlaps the smallest person wins; of clusters of one size the smallest label comes first. Clusters without
+    a person get the next free numbers, the largest first.
+
+    Clusters ask in rounds instead of one by one: each asks the best person that may still take it, and whoever is asked
+    by a cluster drops all that come after that cluster. As all persons rank clusters alike, this ends in the same choice."""
+    sizes = materialized(new.groupBy("label").agg(F.count_distinct("face").alias("size")), "sizes")
+    shared = new.join(old, "face").groupBy("label", "person").agg(F.count_distinct("face").alias("overlap"))
+    if reserved is not None:
+        shared = shared.join(reserved.select("person").distinct(), "person", "left_anti")
+    asked = shared.join(sizes, "label").select("person", F.struct((-F.col("size")).alias("least"), "label").alias("turn"), F.struct((-F.col("overlap")).alias("least"), "person").alias("choice"))
+    open_ = materialized(asked, "choices")
+    while True:  # each round but the last closes some choice
+        first = open_.groupBy("turn").agg(F.min("choice").alias("choice"))
+        holders = materialized(first.groupBy(F.col("choice.person").alias("person")).agg(F.min("turn").alias("holder")), "holders")
+        left = materialized(open_.join(holders, "person", "left").filter("holder IS NULL OR turn <= holder").select("person", "turn", "choice"), "choices")
+        if left.count() == open_.count():
+            break
+        open_ = left
+    taken = holders.select("holder.label", "person")
     number = F.regexp_extract("person", r"^person_(\d{1,18})$", 1)
-    last = old.select(number.alias("n")).filter("n <> ''").agg(F.max(F.col("n").cast("long"))).first()[0]
+    known = old.select("person") if reserved is None else old.select("person").unionByName(reserved.select("person"))
+    last = known.select(number.alias("n")).filter("n <> ''").agg(F.max(F.col("n").cast("long"))).first()[0]
     free = positions(sizes.join(taken, "label", "left_anti"), [F.desc("size"), F.asc("label")], "at")
     fresh = free.select("label", F.concat(F.lit("person_"), (F.col("at") + (-1 if last is None else last)).cast("string")).alias("person"))
     return taken.unionByName(fresh)
 
 
+def stabilized(clusters: DataFrame, old: DataFrame) -> DataFrame:
+    """(id, person) after a run: clusters(id, cluster, person) with a pinned person keep it, the others are matched with
+    the faces of the run before, old(face, person), in which an empty or unassigned person is none. Faces without a
+    cluster are `person_unassigned`. Pinned persons are reserved: no other cluster gets their name or a new one like it."""
+    before = old.filter("person NOT IN ('', '_unassigned', 'person_unassigned')")
+    pinned = clusters.filter("person IS NOT NULL").select("person").distinct()
+    others = clusters.filter("cluster IS NOT NULL AND person IS NULL").select(F.col("id").alias("face"), F.col("cluster").alias("label"))
+    match = matched_persons(before, others, pinned).select(F.col("label").alias("cluster"), F.col("person").alias("matched"))
+    return clusters.join(match, "cluster", "left").select("id", F.coalesce("person", "matched", F.lit("person_unassigned")).alias("person"))
+
+
+def person_count(persons: DataFrame) -> DataFrame:
+    """(persons, unassigned): different persons of (id, person), where all faces that are unassigned count as one more."""
+    none = F.col("person") == "person_unassigned"
+    return persons.agg(F.count_distinct("person").alias("persons"), F.count_if(none).alias("unassigned"))
+
+
 def cliques(points: DataFrame, similarity: float) -> DataFrame:
     """(clique, id): groups of points that are all alike, greedily by degree, each point once.
 

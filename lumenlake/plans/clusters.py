@@ -45,11 +45,30 @@ def agglomerative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.agglomerated(photos(spark, sf_dir), COSINE, block="label", linkage="average")
 
 
-def face_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = photos(spark, sf_dir).select(
-        "id", "vector", (F.pmod(F.col("id") * 7, F.lit(13)) / 13.0).alias("quality"), (F.col("id") % 9 == 0).alias("weak"), F.when(F.col("id") < 4, F.col("id") % 2).cast("int").alias("pinned")
+def _faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as faces: some weak, some pinned to two persons, some pinned out."""
+    pinned = F.when(F.col("id") % 50 == 3, F.concat(F.lit("person_"), (F.col("id") % 20).cast("string"))).when(F.col("id") % 50 == 4, "")
+    return photos(spark, sf_dir).select(
+        "id", "vector", (F.pmod(F.col("id") * 7, F.lit(13)) / 13.0).alias("quality"), (F.col("id") % 9 == 0).alias("weak"), pinned.alias("pinned"), (F.col("id") % 4 == 1).alias("unmeasured")
     )
-    return clustering.clustered_faces(p, cosine=COSINE)
+
+
+def face_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered_faces(_faces(spark, sf_dir), cosine=COSINE)
+
+
+def face_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.face_report(_faces(spark, sf_dir), face_clusters(spark, sf_dir))
+
+
+def person_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons of faces after a run; before it, faces had the persons of their labels."""
+    old = photos(spark, sf_dir).filter("id % 3 <> 0").select(F.col("id").alias("face"), F.concat(F.lit("person_"), F.col("label").cast("string")).alias("person"))
+    return clustering.stabilized(face_clusters(spark, sf_dir), old)
+
+
+def person_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.person_count(person_ids(spark, sf_dir))
 
 
 def face_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +138,7 @@ u AS (SELECT cluster, size, list_transform(raw, lambda y: y / sqrt(list_dot_prod
 
 QUERIES = {
     f.__name__: f
-    for f in (dbscan_labels, near_pairs, centroids, cluster_spread, attach_nearest, agglomerative, face_clusters, face_gate, person_match, keyword_cliques, box_suppression, keyword_dedupe, keyword_merge, message_summary, vocab_rank, sibling_leaves)
+    for f in (dbscan_labels, near_pairs, centroids, cluster_spread, attach_nearest, agglomerative, face_clusters, face_report, person_ids, person_total, face_gate, person_match, keyword_cliques, box_suppression, keyword_dedupe, keyword_merge, message_summary, vocab_rank, sibling_leaves)
 }
 
 SQL = {
@@ -139,6 +158,25 @@ SELECT id, CASE WHEN min(distance) <= 0.72 THEN arg_min(cluster, (distance, clus
 WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS pos FROM documents),
 f AS (SELECT doc_id, min(pos) AS pos, arg_min(word, pos) AS word FROM w GROUP BY doc_id, lower(trim(word)))
 SELECT doc_id, count(*) AS n, sum(pos)::BIGINT AS positions, sum(length(word))::BIGINT AS chars FROM f GROUP BY 1""",
+    # Label by label, the largest first; `free` are a label's persons that nobody took.
+    "person_match": """
+WITH RECURSIVE e AS (SELECT event_id AS face, user_id % 15 AS label, CASE WHEN event_id % 3 <> 0 THEN 'person_' || (user_id % 12) END AS person FROM events),
+s AS (SELECT label, row_number() OVER (ORDER BY count(DISTINCT face) DESC, label) AS k FROM e GROUP BY 1),
+o AS (SELECT label, list(person ORDER BY n DESC, person) AS wanted FROM (SELECT label, person, count(DISTINCT face) AS n FROM e WHERE person IS NOT NULL GROUP BY ALL) GROUP BY 1),
+q AS (SELECT s.k, s.label, coalesce(o.wanted, []::VARCHAR[]) AS wanted FROM s LEFT JOIN o USING (label)),
+w AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS label, NULL::VARCHAR AS person, []::VARCHAR[] AS used UNION ALL
+  SELECT k, label, free[1], CASE WHEN len(free) = 0 THEN used ELSE list_append(used, free[1]) END FROM (SELECT q.k, q.label, w.used, list_filter(q.wanted, lambda p: NOT list_contains(w.used, p)) AS free FROM w JOIN q ON q.k = w.k + 1)),
+m AS (SELECT max(substr(person, 8)::BIGINT) AS last FROM e)
+SELECT label, coalesce(person, 'person_' || (last + row_number() OVER (PARTITION BY person IS NULL ORDER BY k))) AS person FROM w, m WHERE k > 0""",
+    # Boxes of an image from the best down; `kept` are those that stayed.
+    "box_suppression": """
+WITH RECURSIVE b AS (SELECT l_orderkey AS image, l_linenumber::BIGINT AS id, {'x': (l_partkey % 50)::DOUBLE, 'y': (l_suppkey % 50)::DOUBLE, 'w': l_quantity::DOUBLE, 'h': l_quantity::DOUBLE} AS r,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey % 50, l_suppkey % 50, l_quantity) AS k FROM lineitem),
+w AS (SELECT image, k, id, TRUE AS stays, [r] AS kept FROM b WHERE k = 1 UNION ALL
+  SELECT image, k, id, stays, CASE WHEN stays THEN list_append(kept, r) ELSE kept END FROM (SELECT b.image, b.k, b.id, b.r, w.kept, len(list_filter(w.kept, lambda q:
+    greatest(0, least(q.x + q.w, b.r.x + b.r.w) - greatest(q.x, b.r.x)) * greatest(0, least(q.y + q.h, b.r.y + b.r.h) - greatest(q.y, b.r.y)) > 0.3 * greatest(1e-12, q.w * q.h + b.r.w * b.r.h
+    - greatest(0, least(q.x + q.w, b.r.x + b.r.w) - greatest(q.x, b.r.x)) * greatest(0, least(q.y + q.h, b.r.y + b.r.h) - greatest(q.y, b.r.y))))) = 0 AS stays FROM w JOIN b ON b.image = w.image AND b.k = w.k + 1))
+SELECT image, id FROM w WHERE stays""",
     "face_gate": """
 WITH f AS (SELECT *, l_orderkey + l_linenumber AS n FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE WHEN n % 3 <> 0 AND l_discount * 4 + 0.7 < 0.80 THEN 'low detection confidence' WHEN n % 5 <> 0 AND l_quantity / 10000 < 0.0008 THEN 'too small in frame'

@@ -182,8 +182,8 @@ def test_persons(spark):
 
 def test_faces(spark):
     at = lambda a: [math.cos(a), math.sin(a)]
-    rows = [(1, at(0.0), 0.9, False, None), (2, at(0.1), 0.8, False, None), (3, at(3.0), 0.9, False, 1), (4, at(0.05), 0.1, True, None), (5, at(1.6), 0.5, False, None)]
-    faces = spark.createDataFrame(rows, "id long, vector array<double>, quality double, weak boolean, pinned int")
+    rows = [(1, at(0.0), 0.9, False, None), (2, at(0.1), 0.8, False, None), (3, at(3.0), 0.9, False, "person_1"), (4, at(0.05), 0.1, True, None), (5, at(1.6), 0.5, False, None)]
+    faces = spark.createDataFrame(rows, "id long, vector array<double>, quality double, weak boolean, pinned string")
     got = {r.id: (r.cluster, r.how) for r in clustering.clustered_faces(faces, cosine=0.05).collect()}
     assert got == {1: (1, "clustered"), 2: (1, "clustered"), 3: (3, "clustered"), 4: (1, "attached"), 5: (None, "unassigned")}
 
