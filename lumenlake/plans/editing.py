@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.functions import histogram
-from lumenlake.operators import style, taxonomy
+from lumenlake.operators import recipes, style, taxonomy
 from lumenlake.plans.search import table
 
 
@@ -59,6 +59,25 @@ def recipe_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def recipe_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as recipes in JSON: numbers as texts, curves in two shapes, unknown channels, masks that fit and that don't."""
+    line = table(spark, sf_dir, "lineitem")
+    text = F.format_string(
+        '{"summary":" %s ","global":{"exposure":"%s","whites":%s,"tone_curve":{"lights":%s,"point_curve":{"red":%s}},"hsl":{"red":{"hue":%s},"pink":{"hue":1}},"color_grading":{"shadows":{"hue":%s},"balance":%s}},"masks":[{"kind":"%s","adjustments":{"dehaze":%s}}]}',
+        "l_returnflag", *(F.col(c).cast("long").cast("string") for c in ("l_linenumber", "l_quantity")), (F.col("l_quantity").cast("long") * 4).cast("string"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.format_string("[[0,%d],[300,9]]", F.col("l_quantity").cast("long"))).otherwise(F.format_string("[0,%d,300]", F.col("l_quantity").cast("long"))),
+        *((F.col("l_quantity").cast("long") * k).cast("string") for k in (3, 8, -3)),
+        F.when(F.col("l_returnflag") == "A", "Sky").when(F.col("l_returnflag") == "R", "moon").otherwise("subject"), F.when(F.col("l_linestatus") == "F", "150").otherwise("null"),
+    )
+    n = recipes.normalized(line.select("l_orderkey", "l_linenumber", text.alias("recipe"))).withColumnRenamed("normalized", "n")
+    at = lambda m, k: F.try_element_at(m, F.lit(k))
+    return n.select(
+        "l_orderkey", "l_linenumber", "n.summary", at("n.settings", "exposure").alias("exposure"), at("n.settings", "whites").alias("whites"), at("n.tones", "lights").alias("lights"),
+        F.array_join(at("n.curves", "red").cast("array<string>"), ",").alias("red"), at(at("n.hsl", "red"), "hue").alias("hue"), F.size("n.hsl").cast("long").alias("channels"),
+        at(at("n.grading", "shadows"), "hue").alias("shade"), at("n.grading_levels", "balance").alias("balance"), F.array_join("n.masks.kind", ",").alias("masks"), F.array_join("n.warnings", "|").alias("warnings"),
+    )
+
+
 def brightness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histograms of event values by kind: where shares of them end, and how much is clipped."""
     bins = histogram.binned(table(spark, sf_dir, "events").select("event_type", (F.col("value") / 100).alias("v")), "event_type", "v")
@@ -91,7 +110,7 @@ def _unit(x: str) -> str:
     return _away(f"greatest(0, least(1, ({x})::DOUBLE))", 4)
 
 
-QUERIES = {f.__name__: f for f in (style_outcome, style_temperature, recent_examples, recipe_temperature, recipe_crop, brightness, top_tenth, species_gate)}
+QUERIES = {f.__name__: f for f in (style_outcome, style_temperature, recent_examples, recipe_temperature, recipe_crop, recipe_parts, brightness, top_tenth, species_gate)}
 
 SQL = {
     "style_outcome": f"""WITH {_EXAMPLES}, r AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, id) AS k FROM e),
@@ -111,6 +130,11 @@ e AS (SELECT l_orderkey, l_linenumber, l_linenumber % 3 = 0 AS own, CASE WHEN l_
   CASE WHEN l_linenumber % 3 = 0 THEN {_unit("q")} ELSE least(1, {_away("(x + w)", 4)}) END AS r, y AS t, least(1, {_away("(y + h)", 4)}) AS b, {_away("greatest(-45, least(45, (q * 100)::DOUBLE))", 4)} AS a FROM x)
 SELECT l_orderkey, l_linenumber, CASE WHEN l < r THEN l END AS edge_left, CASE WHEN l < r THEN r END AS edge_right, CASE WHEN NOT own AND t < b THEN t END AS edge_top, CASE WHEN NOT own AND t < b THEN b END AS edge_bottom,
   CASE WHEN NOT own THEN a END AS angle, CASE WHEN l < r THEN '' ELSE 'left_not_before_right' END AS reasons FROM e""",
+    "recipe_parts": """WITH q AS (SELECT *, l_quantity::BIGINT AS q, CASE l_returnflag WHEN 'A' THEN 'sky' WHEN 'R' THEN 'moon' ELSE 'subject' END AS kind FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_returnflag AS summary, least(5, l_linenumber)::DOUBLE AS exposure, q::DOUBLE AS whites, least(100, q * 4)::DOUBLE AS lights,
+  CASE WHEN l_linenumber % 2 = 0 THEN '0,' || q || ',255,9' END AS red, least(100, q * 3)::DOUBLE AS hue, 1::BIGINT AS channels, least(360, q * 8)::DOUBLE AS shade, greatest(-100, q * -3)::DOUBLE AS balance,
+  CASE WHEN kind <> 'moon' AND l_linestatus = 'F' THEN kind ELSE '' END AS masks,
+  CASE WHEN kind = 'moon' THEN 'Ignored mask #1: unsupported kind ''moon''.' WHEN l_linestatus <> 'F' THEN 'Ignored mask ''' || kind || ''': no supported adjustments were returned.' ELSE '' END AS warnings FROM q""",
     "brightness": f"""WITH b AS (SELECT event_type, {_away("(greatest(0, least(255, value / 100 * 255)))", 0)}::INTEGER AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
 c AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY event_type) AS total FROM b)
 SELECT event_type, round(min(bin) FILTER (upto >= 0.05::DOUBLE * total) / 255, 6) AS p05, round(min(bin) FILTER (upto >= 0.5::DOUBLE * total) / 255, 6) AS p50, round(min(bin) FILTER (upto >= 0.95::DOUBLE * total) / 255, 6) AS p95,
