@@ -4,6 +4,8 @@ Every stage takes (spark, docs, sf_dir) and works on all documents that the stag
 return the columns of `documents`. Between stages documents are written as Parquet and read again, so a lost executor
 costs no more than the stage it was in.
 
+Near copies are op5's: fingerprints of 3-word shingles that differ in 3 bits or fewer, and what these links connect.
+
 Defined cases, for all stages: a null text is an empty one, which is neither toxic nor contaminated; empty texts, and
 texts of the same words, are copies of each other; of equal or near copies the smallest doc_id stays, ids that are null
 last, then the smallest hash of the text; rows that repeat one document are reduced to one by near copies; different texts
@@ -25,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.deduplicated(docs)
+    """One document of each component of near fingerprints stays, as op5 finds them."""
+    return simhash.one_of_each_component(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,20 +62,19 @@ def text_fingerprint(text: bytes, shingle: int) -> int:
     return fingerprint_bits(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), grams), np.uint64))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp holds the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, *keep: str) -> DataFrame:
+    """(doc_id, *keep, fp): fp holds the fingerprint's 64 bits as a signed long."""
+    named = ["doc_id", *keep]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter(
                 (text_fingerprint(t.as_py() or b"", shingle) for t in batch.column("text")), np.uint64, batch.num_rows
             )
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in named), pa.array(found.view(np.int64))], [*named, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        score, f"doc_id {kind}, fp bigint"
-    )
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in named)
+    return docs.select(*named, F.col("text").cast("binary").alias("text")).mapInArrow(score, f"{kinds}, fp bigint")
 
 
 def _signed(x: int) -> int:
@@ -173,8 +172,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) -> Da
     return joined(prints, named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# What follows finds near copies for filtering: texts whose sets of five-word shingles have a Jaccard likeness of
-# SIMILARITY or more. Their 64-bit fingerprints differ in ten bits, beyond any ball, so the sets themselves are joined.
+def _one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """`docs`, with all columns, less all but one document of each root of groups(doc_id, text_hash, root): the smallest
+    doc_id stays.
+
+    Ids may repeat or be null: a document is named by (doc_id, text_hash), nulls last, and only the survivor's own
+    repeats are reduced to one: that whose other columns, of any type, have the smallest hash as JSON."""
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("of"))
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *(c for c in docs.columns if c not in ("doc_id", "text"))))
+    d = docs.select(F.struct(*docs.columns).alias("whole"), F.xxhash64(others).alias("order"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).alias("d")
+    f = first.alias("f")
+    kept = d.join(f, F.expr("d.doc_id <=> f.of.doc_id AND d.text_hash = f.of.text_hash"), "left_semi")
+    return kept.groupBy("doc_id", "text_hash").agg(F.min_by("whole", "order").alias("whole")).select("whole.*")
+
+
+def one_of_each_component(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) -> DataFrame:
+    """`docs`, with all columns, less all but one document of each component of `near_duplicates`: see `_one_of_each`."""
+    prints = materialized(fingerprints(with_key(docs), shingle, "text_hash"), "simhash-fingerprints")
+    # Copies meet in partial sums before the shuffle; of a fingerprint only its first document can stay.
+    named = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("of")
+    distinct = materialized(prints.groupBy("fp").agg(named), "simhash-distinct")
+    roots = components(links(distinct, crowd))
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("of.doc_id", "of.text_hash", F.coalesce("root", "fp").alias("root"))
+    return _one_of_each(docs, materialized(rooted, "simhash-roots"))
+
+
+# What follows finds near copies by sets of five-word shingles with a Jaccard likeness of SIMILARITY or more, which
+# differ in ten bits of a fingerprint, beyond any ball: the sets themselves are joined. No registered query uses it.
 
 SIMILARITY = 0.8
 #: Bits of a set's parities.
@@ -376,14 +400,5 @@ def near_copies(docs: DataFrame, shingle: int = 5, crowd: int = CROWD) -> DataFr
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """`docs`, with all columns, less all but one document of each group of near copies: the smallest doc_id stays.
-
-    Ids may repeat or be null: a document is named by (doc_id, text_hash), nulls last, and only the survivor's own
-    repeats are reduced to one: that whose other columns, of any type, have the smallest hash as JSON."""
-    groups = copy_groups(docs.select("doc_id", "text"), shingle)
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("of"))
-    others = F.to_json(F.struct(F.lit(0).alias("_"), *(c for c in docs.columns if c not in ("doc_id", "text"))))
-    d = docs.select(F.struct(*docs.columns).alias("whole"), F.xxhash64(others).alias("order"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).alias("d")
-    f = first.alias("f")
-    kept = d.join(f, F.expr("d.doc_id <=> f.of.doc_id AND d.text_hash = f.of.text_hash"), "left_semi")
-    return kept.groupBy("doc_id", "text_hash").agg(F.min_by("whole", "order").alias("whole")).select("whole.*")
+    """`docs`, with all columns, less all but one document of each group of near copies: see `_one_of_each`."""
+    return _one_of_each(docs, copy_groups(docs.select("doc_id", "text"), shingle))

@@ -330,6 +330,26 @@ def test_copies_under_repeated_and_missing_ids(spark):
     assert left == [(0, "c"), (1, "a"), (1, "b")]
 
 
+def test_pipeline_keeps_one_of_each_component_of_op5(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.doc_id is not None]
+    line, top = "one two three four five six seven " * 60, max(i for i, _ in rows) + 1
+    # Fingerprints of one line that is repeated, though the sets of shingles are unlike; and no words at all.
+    rows += [(top + i, line + " ".join(f"x{i}y{k}" for k in range(9))) for i in range(6)] + [(top + 6, ""), (top + 7, " \n")]
+    docs = made(spark, rows)
+    fps = {i: simhash.text_fingerprint((t or "").encode(), 3) for i, t in rows}
+    root = {i: i for i in fps}
+    for a in sorted(fps):
+        for b in sorted(fps):
+            if a < b and root[a] != root[b] and (fps[a] ^ fps[b]).bit_count() <= 3:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    assert root[top + 5] == top and root[top + 7] == root[top + 6]
+    left = corpus_pipeline.drop_copies(spark, docs, SF)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted(set(root.values()))
+    assert {r.component_id for r in simhash.near_duplicates(docs).collect()} == set(root.values())
+    assert sorted(r.doc_id for r in simhash.one_of_each_component(docs, crowd=2).collect()) == sorted(set(root.values()))
+
+
 def test_pipeline_stages_of_awkward_tables(spark):
     rows = [*AWKWARD, (20, "one id"), (20, "another text of that id"), (21, None)]
     for docs, left in ((made(spark, []), []), (made(spark, rows).withColumn("gram", F.lit(1)).withColumn("node", F.lit(2)), [1, 3, 4, 5, 6, 7, 8, 20, 20])):
