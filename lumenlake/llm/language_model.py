@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,20 +86,19 @@ def pair_keys(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mixed(before * GOLDEN + token) | PAIR
 
 
-def tokens_of(text: bytes) -> list[int]:
-    """Hashes of a text's tokens and the end."""
-    return [*map(_hash, text.lower().split()), int(END)]
-
-
-def _batch(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens of some texts, those before them, and the texts' lengths."""
-    each = [np.array(tokens_of(t or b""), np.uint64) for t in texts]
+def _batch(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the different tokens of some texts, START last; which of them each token is, and the one before it; and
+    the texts' lengths. Each different token is hashed once."""
+    each = [[*(t or b"").lower().split(), b" "] for t in texts]
     sizes = np.fromiter(map(len, each), np.int64, len(each))
-    token = np.concatenate(each) & ~PAIR
+    told = pa.array([*chain.from_iterable(each)], pa.binary()).dictionary_encode()
+    hashes = np.fromiter(map(_hash, told.dictionary.to_pylist()), np.uint64, len(told.dictionary)) & ~PAIR
+    single, place = np.unique(hashes, return_inverse=True)
+    token = place[told.indices.to_numpy()]
     before = np.empty_like(token)
     before[1:] = token[:-1]
-    before[np.cumsum(sizes) - sizes] = START
-    return token, before, sizes
+    before[np.cumsum(sizes) - sizes] = len(single)
+    return np.append(single, START), token, before, sizes
 
 
 def _parts(batches: Iterator[pa.RecordBatch], most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
@@ -117,8 +117,9 @@ def counted(docs: DataFrame, segments: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            token, before, _ = _batch(batch.column("text").to_pylist())
-            key, n = np.unique(np.concatenate([token, pair_keys(before, token)]), return_counts=True)
+            single, token, before, _ = _batch(batch.column("text").to_pylist())
+            pair, pair_n = np.unique(pair_keys(single[before], single[token]), return_counts=True)
+            key, n = np.concatenate([single[:-1], pair]), np.concatenate([np.bincount(token, minlength=len(single) - 1), pair_n])
             yield pa.RecordBatch.from_arrays([pa.array(segment_of(key, segments).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(n)], ["segment", "key", "n"])
 
     parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "segment int, key long, n long")
@@ -214,14 +215,13 @@ class Model:
         return (counts + ALPHA) / (self.tokens + ALPHA * (self.types + 1))
 
 
-def score_tokens(model: Model, token: np.ndarray, before: np.ndarray, levels: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """log10 probabilities of tokens after others."""
-    singles, at = np.unique(np.concatenate([token, before]), return_inverse=True)
+def score_tokens(model: Model, singles: np.ndarray, token: np.ndarray, before: np.ndarray, levels: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """log10 probabilities of tokens after others, which are numbers of the different keys `singles`."""
     level = levels(singles)
     least, most = least_at(level), most_at(level)
     most[singles == START] = model.starts
-    own, context = model.single(least)[at[: len(token)]], most[at[len(token) :]]
-    pairs, where = np.unique(pair_keys(before, token), return_inverse=True)
+    own, context = model.single(least)[token], most[before]
+    pairs, where = np.unique(pair_keys(singles[before], singles[token]), return_inverse=True)
     both = np.minimum(least_at(levels(pairs))[where], context)
     return np.log10(np.minimum(1.0, (both + PRIOR * own) / (context + PRIOR)))
 
@@ -290,7 +290,8 @@ def _scored_apart(first: DataFrame, model: Model, segments: DataFrame, number: i
                 own = [np.zeros(0, np.int64) if batch.column(c)[i].values is None else batch.column(c)[i].values.to_numpy() for c in ("key", "level")]
                 order = np.argsort(own[0].view(np.uint64))
                 keys, values = own[0].view(np.uint64)[order], own[1][order]
-                out[i] = score_tokens(model, token, before, lambda k: np.maximum(looked_up(k, often, level)[1], looked_up(k, keys, values)[1])).sum()
+                singles, at = np.unique(np.concatenate([token, before]), return_inverse=True)
+                out[i] = score_tokens(model, singles, at[: len(token)], at[len(token) :], lambda k: np.maximum(looked_up(k, often, level)[1], looked_up(k, keys, values)[1])).sum()
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out)], [*names, "score"])
 
     both = first.join(_sent_levels(first, segments, number, common), "row", "left")
@@ -324,31 +325,30 @@ def scored(docs: DataFrame, most: int = BROADCAST, each: int = BITS_EACH) -> Dat
         bloom, (known, known_n) = shared.value
         row = TaskContext.get().partitionId() << 33
         for batch in _parts(batches, 2_000_000):
-            token, before, sizes = _batch(batch.column("text").to_pylist())
+            single, token, before, sizes = _batch(batch.column("text").to_pylist())
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            single, at = np.unique(token, return_inverse=True)
             common, number = looked_up(single, known, known_n)
             logs = np.where(common, np.log10(number + ALPHA) - out_of, 0.0)
             # Other tokens: once for each document, with their number there.
-            rare = ~common[at]
-            asked = np.unique(np.stack([doc[rare].astype(np.uint64), token[rare]]), axis=1, return_counts=True) if rare.any() else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
-            ends = np.searchsorted(asked[0][0], np.arange(len(sizes) + 1).astype(np.uint64)).astype(np.int32)
+            rare = ~common[token]
+            asked, numbers = np.unique(doc[rare] * len(single) + token[rare], return_counts=True)
+            ends = np.searchsorted(asked, np.arange(len(sizes) + 1) * len(single)).astype(np.int32)
             whole = len(sizes)
             columns = {
                 "row": pa.array(row + np.arange(whole)),
                 "doc_id": batch.column("doc_id"),
                 "held_out": batch.column("held_out"),
                 "n_tokens": pa.array(sizes),
-                "known": pa.array(np.bincount(doc, common[at], whole).astype(np.int64)),
-                "logs": pa.array(np.bincount(doc, logs[at], whole)),
-                "keys": pa.ListArray.from_arrays(ends, pa.array(asked[0][1].view(np.int64))),
-                "numbers": pa.ListArray.from_arrays(ends, pa.array(asked[1].astype(np.int64))),
+                "known": pa.array(np.bincount(doc, common[token], whole).astype(np.int64)),
+                "logs": pa.array(np.bincount(doc, logs[token], whole)),
+                "keys": pa.ListArray.from_arrays(ends, pa.array(single[asked % len(single)].view(np.int64))),
+                "numbers": pa.ListArray.from_arrays(ends, pa.array(numbers)),
             }
             if bloom is None:
                 ends = np.cumsum([0, *sizes]).astype(np.int32)
-                columns |= {c: pa.ListArray.from_arrays(ends, pa.array(x.view(np.int64))) for c, x in (("tokens", token), ("befores", before))}
+                columns |= {c: pa.ListArray.from_arrays(ends, pa.array(x.view(np.int64))) for c, x in (("tokens", single[token]), ("befores", single[before]))}
             else:
-                columns["score"] = pa.array(np.bincount(doc, score_tokens(model, token, before, bloom.levels), whole))
+                columns["score"] = pa.array(np.bincount(doc, score_tokens(model, single, token, before, bloom.levels), whole))
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
             row += whole
 

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -211,6 +212,18 @@ def test_scores_by_exact_counts(spark, monkeypatch):
     assert np.allclose(sorted(r.score for r in language_model.scored(made(spark, rows), each=400).collect()), want, rtol=1e-6)
 
 
+def test_each_different_token_is_hashed_once(monkeypatch):
+    met = []
+    monkeypatch.setattr(language_model, "_hash", lambda t: met.append(t) or xxhash.xxh64_intdigest(t, seed=7))
+    texts = [b"A b a", None, b"", b"b\x0bc  A"] * 50
+    single, token, before, sizes = language_model._batch(texts)
+    assert sorted(met) == [b" ", b"a", b"b", b"c"] and sizes.tolist() == [4, 1, 1, 4] * 50
+    key = lambda t: xxhash.xxh64_intdigest(t, seed=7) & ~1
+    assert [int(k) for k in single[token][:10]] == [key(t) for t in (b"a", b"b", b"a", b" ", b" ", b" ", b"b", b"c", b"a", b" ")]
+    start = int(language_model.START)
+    assert [int(k) for k in single[before][:10]] == [start, key(b"a"), key(b"b"), key(b"a"), start, start, start, key(b"b"), key(b"c"), key(b"a")]
+
+
 def test_texts_that_occur_twice_are_likelier(spark):
     rng = random.Random(9)
     text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
