@@ -370,3 +370,25 @@ def test_baskets_of_many_tokens(spark):
     assert len(got) == 40 and {r.page_id: r.verdict for r in got} == {i: "block" if i % 2 else "allow" for i in range(40)}
     parsed = urls.parsed(spark.createDataFrame(rows, "page_id long, url string")).first()
     assert {"segment:s19", "query:k19"} <= set(parsed.tokens)
+
+
+def test_rules_of_long_urls_are_mined_whole(spark):
+    # More tokens that tell as much as the one that says all: none is left out, whichever comes first by strength or name.
+    rng = random.Random(8)
+    rows = [([f"t{j}" for j in range(26) if rng.random() < 0.3 or (j > 23 and i % 2)], rng.choice(["block", "allow"])) for i in range(200)]
+    rows = [(t, "block" if {"t24", "t25", "t3"} <= set(t) else v) for t, v in rows]
+    baskets = spark.createDataFrame([(t[:11], v) for t, v in rows], "tokens array<string>, verdict string")
+    known = lambda found: {(tuple(r.tokens), r.verdict): (round(r.confidence, 9), round(r.support, 9)) for r in found.collect()}
+    grown, levelled = known(urls.mined(baskets, 0.04, 0.5)), known(urls.mined(baskets, 0.04, 0.5, most=0))
+    assert len(grown) > 20 and grown == levelled
+    whole = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    got = known(urls.mined(whole, 0.05, 0.9))
+    held = [v for t, v in rows if {"t24", "t25", "t3"} <= set(t)]
+    assert max(len(t) for t, _ in rows) > urls.MOST
+    assert any(set(k) <= {"t24", "t25", "t3"} and v == "block" for k, v in got) and len(held) >= 10
+    for (tokens, verdict), (sure, share) in got.items():
+        own = [v for t, v in rows if set(tokens) <= set(t)]
+        assert abs(own.count(verdict) / len(own) - sure) < 1e-6 and abs(own.count(verdict) / len(rows) - share) < 1e-6
+    pages = spark.createDataFrame([(i, "u", t, v) for i, (t, v) in enumerate(rows)], "page_id long, url string, tokens array<string>, verdict string")
+    mined_from = urls.mining_baskets(pages, urls.telling(pages, 0.01)).collect()
+    assert sorted(tuple(r.tokens) for r in mined_from) == sorted(tuple(sorted(t)) for t, _ in rows if t)
