@@ -91,6 +91,48 @@ def test_units_side_by_side():
             a, c = a + b, c + d
 
 
+def lists_of(found):
+    """For each row of Found, its (score, ids)."""
+    ends = np.cumsum(found.sizes).reshape(found.lost.shape)
+    ids = [[found.ids[b - n : b].tolist() for b, n in zip(*row)] for row in zip(ends, found.sizes.reshape(ends.shape))]
+    return [[(score - x, i) for x, i in zip(lost, own) if x < np.inf] for score, lost, own in zip(found.score, found.lost, ids)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 9])
+def test_n_best_side_by_side(n):
+    v = pieces.vocabulary()
+    encoder = pieces.Encoder(v, n)
+    rng = random.Random(n)
+    some = ["".join(rng.choices("aeionrst,.'éß -", k=rng.randrange(14))).lstrip(" ") for _ in range(1500)] + ["日a", "▁", "x" * 200, "", "\t"]
+    some = sorted({u for t in some for u in pieces.units(t)})
+    short = [u for u in some if len(u) < 60]
+    texts = ["", "the cat", "the the the the the cat", "a  b", "▁ x", "日 日 ñ", "\t \n", "of the ing " * 200, " ".join(some[:300])]
+    for asked, got in ((short, pieces.n_best(encoder.trie, [" " + u for u in short], n)), (some, encoder.alone([" " + u for u in some])), (texts, encoder.ranked(texts)), (texts[::-1], encoder.ranked(texts[::-1]))):
+        for text, own in zip(asked, lists_of(got), strict=True):
+            want = pieces.nbest_text(v, text, n) if asked in (texts, texts[::-1]) else pieces.nbest_word(v, " " + text, n)
+            assert [s for s, _ in own] == [s for s, _ in want]
+            assert len({tuple(i) for _, i in own}) == len(own) and {pieces.decode(v, i) for _, i in own} == {text}
+            score = {i[0]: s for i, s in v.pieces.values()}
+            for s, ids in own[:1] + own[-1:]:
+                characters = len(b"".join(v.decoded[i] for i in ids if i not in score).decode())  # in bytes, each at one price
+                assert s == sum(score[i] for i in ids if i in score) + characters * v.unknown
+
+
+def test_sentencepiece_gives_n_whole_lists(spark):
+    v = pieces.vocabulary()
+    got = pieces.round_trips(made(spark, AWKWARD[:-2])).collect()
+    assert len(got) == len(AWKWARD) - 2
+    for r in got:
+        text = next(t or "" for i, t in AWKWARD if i == r.doc_id)
+        want = pieces.nbest_text(v, text, 4)
+        assert [r.score, *r.next_scores] == [s for s, _ in want]
+        lists = [r.ids, *r.next_ids]
+        assert len({tuple(i) for i in lists}) == len(want) and {pieces.decode(v, i) for i in lists} == {text}
+        assert r.n_pieces == len(r.ids) and r.next_score == (r.next_scores[0] if r.next_scores else None)
+    table = queries.op1_sentencepiece(spark, SF)
+    assert table.filter("size(next_ids) = 3").count() > 0.9 * table.count()
+
+
 def test_sentencepiece_round_trips(spark):
     got = pieces.round_trips(made(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD) and all(r.exact for r in got)
