@@ -26,10 +26,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -43,6 +43,8 @@ BROADCAST = 1 << 27
 SEGMENT = 256
 #: Bits for each n-gram and level, and probes.
 BITS_EACH, PROBES = 8, 5
+#: Keys that are probed together: what this takes stays in a processor's cache.
+TOGETHER = 1 << 15
 #: Ratio of counts between levels.
 RATIO = 1.5
 LEVELS = 110
@@ -89,12 +91,22 @@ def pair_keys(before: np.ndarray, token: np.ndarray) -> np.ndarray:
 def _batch(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the different tokens of some texts, START last; which of them each token is, and the one before it; and
     the texts' lengths. Each different token is hashed once."""
-    each = [[*(t or b"").lower().split(), b" "] for t in texts]
-    sizes = np.fromiter(map(len, each), np.int64, len(each))
-    told = pa.array([*chain.from_iterable(each)], pa.binary()).dictionary_encode()
-    hashes = np.fromiter(map(_hash, told.dictionary.to_pylist()), np.uint64, len(told.dictionary)) & ~PAIR
+    # ASCII white space and A-Z only, as bytes: nothing here looks at other characters, so they needn't be valid.
+    whole = pc.fill_null(pa.array(texts, pa.binary()), b"").view(pa.string())
+    each = pc.ascii_split_whitespace(pc.ascii_lower(whole))
+    doc = np.repeat(np.arange(len(texts)), pc.list_value_length(each).to_numpy())
+    told = each.flatten().dictionary_encode()
+    names, kind = told.dictionary.view(pa.binary()), told.indices.to_numpy()
+    real = pc.binary_length(names).to_numpy() > 0  # white space at an end of a text parts an empty token
+    doc, kind = doc[real[kind]], (np.cumsum(real) - 1)[kind[real[kind]]]
+    sizes = np.bincount(doc, minlength=len(texts)) + 1
+    # Each text's end, which is a token of its own, after its tokens.
+    numbers = np.full(int(sizes.sum()), int(real.sum()))
+    numbers[np.arange(len(kind)) + doc] = kind
+    names = [*names.filter(pa.array(real)).to_numpy(zero_copy_only=False), b" "]
+    hashes = np.fromiter(map(_hash, names), np.uint64, len(names)) & ~PAIR
     single, place = np.unique(hashes, return_inverse=True)
-    token = place[told.indices.to_numpy()]
+    token = place[numbers]
     before = np.empty_like(token)
     before[1:] = token[:-1]
     before[np.cumsum(sizes) - sizes] = len(single)
@@ -127,7 +139,8 @@ def counted(docs: DataFrame, segments: int) -> DataFrame:
 
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return (keys >> np.uint64(1)) % np.uint64(segments)
+    """Segments are ranges of keys, their first bit aside, so ascending keys probe one after the other, twice through."""
+    return (keys << np.uint64(1) >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)
 
 
 def positions(keys: np.ndarray, level: int, bits: np.ndarray) -> np.ndarray:
@@ -177,7 +190,7 @@ def packed(counts: DataFrame, segments: int, each: int = BITS_EACH) -> DataFrame
 
 
 class Filter:
-    """Segments of bits, joined; a key's segment is named by its remainder."""
+    """Segments of bits, joined."""
 
     def __init__(self, segments: int, rows):
         """`rows` are (segment, data); a segment that is missing holds nothing."""
@@ -189,6 +202,9 @@ class Filter:
         self.data = np.concatenate([np.zeros(0, np.uint8), *(d for _, d in found)])
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(self._levels(keys[a : a + TOGETHER]) for a in range(0, len(keys), TOGETHER))])
+
+    def _levels(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
         segment = segment_of(keys, len(self.sizes))
         alive = np.nonzero(self.sizes[segment])[0]
@@ -324,7 +340,7 @@ def scored(docs: DataFrame, most: int = BROADCAST, each: int = BITS_EACH) -> Dat
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, (known, known_n) = shared.value
         row = TaskContext.get().partitionId() << 33
-        for batch in _parts(batches, 2_000_000):
+        for batch in _parts(batches, 4_000_000):
             single, token, before, sizes = _batch(batch.column("text").to_pylist())
             doc = np.repeat(np.arange(len(sizes)), sizes)
             common, number = looked_up(single, known, known_n)

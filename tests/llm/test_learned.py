@@ -266,6 +266,29 @@ def test_each_different_token_is_hashed_once(monkeypatch):
     assert [int(k) for k in single[before][:10]] == [start, key(b"a"), key(b"b"), key(b"a"), start, start, start, key(b"b"), key(b"c"), key(b"a")]
 
 
+def test_tokens_of_odd_bytes():
+    """Only A-Z change and only ASCII white space parts; texts needn't be valid UTF-8."""
+    texts = [b"", None, b"  ", b" A\x0bb\x0c", b"\xff\xfe \x00 \x1c x\x85y", "ÀÉ  İ \u00a0 \u2003z".encode(), b"\t\n\r", b"b"]
+    each = [[*(t or b"").lower().split(), b" "] for t in texts]
+    single, token, before, sizes = language_model._batch(texts)
+    key = lambda t: xxhash.xxh64_intdigest(t, seed=7) & ~1
+    assert sizes.tolist() == [len(e) for e in each]
+    assert [int(k) for k in single[token]] == [key(t) for e in each for t in e]
+    assert [int(k) for k in single[before]] == [k for e in each for k in [int(language_model.START), *map(key, e[:-1])]]
+
+
+def test_keys_in_order_probe_segments_in_order(monkeypatch):
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.integers(0, 2**63, 5000).view(np.uint64))
+    segment = language_model.segment_of(keys, 9)
+    assert (np.diff(segment.astype(np.int64)) >= 0).all() and set(segment.tolist()) == set(range(9))
+    assert np.bincount(segment.astype(np.int64)).min() > 400
+    f = language_model.Filter(9, [(s, language_model.filled(keys[segment == s], np.full((segment == s).sum(), 7))) for s in range(9)])
+    whole = f.levels(keys)
+    monkeypatch.setattr(language_model, "TOGETHER", 300)
+    assert (f.levels(keys) == whole).all() and (whole >= language_model.levels_of(np.array([7]))[0]).all() and len(f.levels(keys[:0])) == 0
+
+
 def test_texts_that_occur_twice_are_likelier(spark):
     rng = random.Random(9)
     text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
