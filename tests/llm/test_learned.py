@@ -118,6 +118,21 @@ def test_n_best_side_by_side(n):
                 assert s == sum(score[i] for i in ids if i in score) + characters * v.unknown
 
 
+def test_words_are_searched_once_whatever_follows():
+    v = pieces.vocabulary()
+    encoder = pieces.Encoder(v)
+    awkward = ["", " ", "  ", "a  b ", " ▁ ", "ñ😀 日本語.\n\tx", "x" * 300, *(t or "" for _, t in AWKWARD[:-2])]
+    texts = awkward + [f"{w}{sign} {w}" for w in ("house", "wörter", "qzqz") for sign in ("$$$", "日", "\x00", "\n\n", "😀😀")]
+    for asked in (texts, texts[::-1], texts):  # anew, and remembered
+        got = encoder.ranked(asked)
+        assert [[s for s, _ in own] for own in lists_of(got)] == [[s for s, _ in pieces.nbest_text(v, t, 4)] for t in asked]
+        assert [pieces.decode(v, own[0][1]) for own in lists_of(got)] == asked
+    every, sizes = encoder.trie.cut(texts)
+    want = [[p for u in pieces.units(t) for p in pieces.parts(v, " " + u)] for t in texts]
+    assert every.to_pylist() == [p for own in want for p in own] and sizes.tolist() == [len(own) for own in want]
+    assert len(encoder.index) == len({p for own in want for p in own}) < len({u for t in texts for u in pieces.units(t)})
+
+
 def test_sentencepiece_gives_n_whole_lists(spark):
     v = pieces.vocabulary()
     got = pieces.round_trips(made(spark, AWKWARD[:-2])).collect()
