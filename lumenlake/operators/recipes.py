@@ -4,11 +4,17 @@ All of it is expressions on variants: nothing leaves the JVM, and a recipe that
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.functions.scalar import clamp, round_away
 from lumenlake.operators.style import RANGES, cropped, in_range
+from lumenlake.plans.lineage import materialized
+
+#: Different recipes, and characters of them, that are read once and broadcast.
+FEW, FEW_CHARS = 5000, 8_000_000
 
 # Names and ranges of the parts of a recipe.
 TONES = {"highlights": (-100.0, 100.0), "lights": (-100.0, 100.0), "darks": (-100.0, 100.0), "shadows": (-100.0, 100.0), "shadow_split": (0.0, 100.0), "midtone_split": (0.0, 100.0), "highlight_split": (0.0, 100.0)}
@@ -182,3 +188,17 @@ def normalized(rows: DataFrame, recipe: str = "recipe", raw: str | None = None)
         warnings.alias("warnings"),
     )
     return g.select("kept", whole.alias("normalized")).select(*([F.col("kept.*")] if keep else []), "normalized")
+
+
+def normalized_once(rows: DataFrame, recipe: str = "recipe", raw: str | None = None) -> DataFrame:
+    """The same as `normalized`. Where a table has few different recipes, each is read once, and all rows get what it came to
+    by broadcast; otherwise rows are read one by one, and none is shuffled."""
+    key = [recipe, *([raw] if raw else [])]
+    told = rows.agg(F.approx_count_distinct(F.struct(*key), 0.02).alias("n"), F.coalesce(F.max(F.length(recipe)), F.lit(0)).alias("longest")).first()
+    if told.n > FEW or told.n * told.longest > FEW_CHARS:
+        return normalized(rows, recipe, raw)
+    different = rows.select(*key).distinct().withColumn("__text", F.col(recipe))
+    read = materialized(normalized(different, "__text", raw), "recipes")
+    found = read.select("normalized", *(F.col(c).alias(f"__{c}") for c in key))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key))
+    return rows.join(F.broadcast(found), same).select(*(c for c in rows.columns if c != recipe), "normalized")

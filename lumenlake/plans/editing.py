@@ -69,7 +69,7 @@ def recipe_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         *((F.col("l_quantity").cast("long") * k).cast("string") for k in (3, 8, -3)),
         F.when(F.col("l_returnflag") == "A", "Sky").when(F.col("l_returnflag") == "R", "moon").otherwise("subject"), F.when(F.col("l_linestatus") == "F", "150").otherwise("null"),
     )
-    n = recipes.normalized(line.select("l_orderkey", "l_linenumber", text.alias("recipe"))).withColumnRenamed("normalized", "n")
+    n = recipes.normalized_once(line.select("l_orderkey", "l_linenumber", text.alias("recipe"))).withColumnRenamed("normalized", "n")
     at = lambda m, k: F.try_element_at(m, F.lit(k))
     return n.select(
         "l_orderkey", "l_linenumber", "n.summary", at("n.settings", "exposure").alias("exposure"), at("n.settings", "whites").alias("whites"), at("n.tones", "lights").alias("lights"),
