@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.operators import imports, reports
+from lumenlake.plans.lineage import materialized
 from lumenlake.plans.search import table
 from lumenlake.sources import fixtures
 
@@ -26,20 +27,21 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixtures as JSON, as they would stand in files."""
+    """Fixtures as JSON, as they would stand in files: a file for each user, so none grows with the table."""
     photo = F.struct("event_id", F.struct("photo_id", F.col("event_id").cast("double").alias("capture_time"), "rank", "reject").alias("p"))
-    groups = _events(spark, sf_dir).groupBy("fixture", "group_id", "intentional_set").agg(F.transform(F.array_sort(F.collect_list(photo)), lambda x: x["p"]).alias("photos"))
-    whole = groups.groupBy(F.col("fixture").alias("name")).agg(F.array_sort(F.collect_list(F.struct("group_id", "intentional_set", "photos"))).alias("groups"))
+    groups = _events(spark, sf_dir).groupBy("fixture", "user_id", "group_id", "intentional_set").agg(F.transform(F.array_sort(F.collect_list(photo)), lambda x: x["p"]).alias("photos"))
+    whole = groups.groupBy(F.col("fixture").alias("name"), "user_id").agg(F.array_sort(F.collect_list(F.struct("group_id", "intentional_set", "photos"))).alias("groups"))
     said = F.when(F.col("name") != "fixture_3", F.col("name") != "fixture_2")
-    return whole.select(F.col("name").alias("source"), F.to_json(F.struct("name", said.alias("groups_are_authoritative"), "groups")).alias("text"))
+    return whole.select(F.concat_ws("_", "name", F.col("user_id").cast("string")).alias("source"), F.to_json(F.struct("name", said.alias("groups_are_authoritative"), "groups")).alias("text"))
 
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     photos, _ = fixtures.parsed(_texts(spark, sf_dir))
+    labels = materialized(photos.select("fixture", "authoritative", "group_id", "intentional_set", "at", "photo_id", "rank", "reject"), "labels")
     produced = _events(spark, sf_dir).filter("event_id % 50 <> 0").select(
         "fixture", "photo_id", F.concat_ws("_", "group_id", (F.col("hour") >= 12).cast("string")).alias("group"), F.floor("value").cast("double").alias("score"), (F.col("value") < 10).alias("reject"), (F.col("user_id") % 18 == 0).alias("keep_all")
     )
-    return reports.reports(photos, produced)
+    return reports.reports(labels, produced)
 
 
 _SHARES = ("winner_accuracy", "ndcg", "reject_precision", "reject_recall", "set_preservation", "set_recognition", "grouping_precision", "grouping_recall")
