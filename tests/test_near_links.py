@@ -36,4 +36,4 @@ def test_vectors_that_rule_out_nothing_move_little(spark):
     """Random vectors in many dimensions: by cells, each point would go to a quarter of all cells at least."""
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors(3000, 32))], "id long, vector array<double>")
     _, dealt = pairs._met(rows, 0.7, "id", "vector", None, pairs.BLOCK, pairs.PIVOTS)
-    assert dealt.count() == 2 * 3000
+    assert dealt.count() == 4 * 3000
